@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
+from tessera.operators import nested
+from tessera.session import table
+
+QUERIES: dict = {
+    "p1_found": lambda s, d: nested.flatten(table(s, d, "raw_record"), "record_id", ("card", "detail"), attributes=False).select("record_id", "node_path", "parent_path"),
+    "p1_objects": lambda s, d: nested.flatten(table(s, d, "raw_record"), "record_id", ("card", "detail")),
+    "p1_records": lambda s, d: nested.flatten(table(s, d, "raw_record"), "record_id", ("card", "detail"), roots=True).where("parent_path is null"),
+}
 ORACLE: dict[str, str] = {}
 
 
