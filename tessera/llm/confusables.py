@@ -10,7 +10,6 @@ Null stays null, an empty text stays empty; both are never reported as changed.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import pyarrow as pa
@@ -24,10 +23,9 @@ FIELDS = ("title", "description", "neighborhood")
 
 _PROTOTYPE = str.maketrans(prototypes() | dict.fromkeys(SPACES, " ") | dict.fromkeys(INVISIBLE))
 _DIGIT = str.maketrans(PERSIAN_DIGITS, "0123456789")
-#: A text without any of these is in ordinary form already: what the table maps, marks, and non-joiners (checked further).
-_ODD = re.compile("[" + "".join(re.escape(c) for c in sorted({*prototypes(), *SPACES, *INVISIBLE})) + "̀-ͯٓ-ٰٟ]")
-_PERSIAN = "آ-غف-يٱ-ۓ"
-_STRAY = re.compile(f"(?<![{_PERSIAN}]){ZWNJ}+|{ZWNJ}+(?![{_PERSIAN}{ZWNJ}])|{ZWNJ}(?={ZWNJ})")
+#: A text without any of these is in ordinary form already: what the table maps, and combining marks.
+_ODD = frozenset({*prototypes(), *SPACES, *INVISIBLE, *map(chr, (*range(0x300, 0x370), *range(0x653, 0x660), 0x670))})
+_PERSIAN = frozenset(map(chr, (*range(0x620, 0x64B), *range(0x671, 0x6D4))))
 
 
 def skeleton(text: str) -> str:
@@ -38,11 +36,23 @@ def skeleton(text: str) -> str:
 
 def ordinary(text: str) -> str:
     """The readable form with ordinary letters, plain spaces and no stray invisible characters."""
-    if _ODD.search(text):
+    if not _ODD.isdisjoint(text):
         # prototypes first, so that a mark meets its ordinary base letter; composed again afterwards
         text = unicodedata.normalize("NFC", unicodedata.normalize("NFC", text.translate(_PROTOTYPE)).translate(_PROTOTYPE))
         text = text.replace("یٔ", "ئ")
-    return _STRAY.sub("", text) if ZWNJ in text else text
+    return _within_words(text) if ZWNJ in text else text
+
+
+def _within_words(text: str) -> str:
+    """Non-joiners only where two letters of the Persian script meet, one at a time."""
+    first, *rest = text.split(ZWNJ)
+    out = [first]
+    for part in rest:
+        if part:
+            if out[-1][-1:] in _PERSIAN and part[0] in _PERSIAN:
+                out.append(ZWNJ)
+            out.append(part)
+    return "".join(out)
 
 
 def _mapped(function, values: pa.Array) -> pa.Array:

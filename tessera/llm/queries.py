@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, confusables, repetition
+from tessera.llm import bpe, confusables, cutoff, neardup, pii, repetition
 from tessera.session import table
 
 QUERIES = {
+    "p2_found": lambda s, d: cutoff.truncated(table(s, d, "listing")),
+    "p2_source_share": lambda s, d: cutoff.source_report(table(s, d, "listing")),
+    "p4_found": lambda s, d: pii.find(table(s, d, "listing")).select("listing_id", "pii_type", "mention_no"),
+    "p4_redacted": lambda s, d: pii.redacted(table(s, d, "listing")),
     "p6_found": lambda s, d: confusables.changed_fields(table(s, d, "listing")),
     "p6_ordinary": lambda s, d: confusables.unify(table(s, d, "listing")),
     "p6_neighborhood_groups": lambda s, d: confusables.groups(table(s, d, "listing"), "neighborhood"),
     "p6_title_groups": lambda s, d: confusables.groups(table(s, d, "listing"), "title"),
+    "p7_found": lambda s, d: neardup.listing_pairs(table(s, d, "listing")),
+    "p7_groups": lambda s, d: neardup.groups(table(s, d, "listing")),
     "p8_ids": lambda s, d: bpe.encode(table(s, d, "documents")),
     "p8_counts": lambda s, d: bpe.count_tokens(table(s, d, "documents")),
     "p10_found": lambda s, d: repetition.repeated(table(s, d, "documents")),
