@@ -10,6 +10,7 @@ Null stays null, an empty text stays empty; both are never reported as changed.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -21,10 +22,11 @@ from tessera.functions.chars import INVISIBLE, ODD_CLASS, PERSIAN_DIGITS, SPACES
 
 FIELDS = ("title", "description", "neighborhood")
 
-_PROTOTYPE = str.maketrans(prototypes() | dict.fromkeys(SPACES, " ") | dict.fromkeys(INVISIBLE))
+_TABLE = prototypes() | dict.fromkeys(SPACES, " ") | dict.fromkeys(INVISIBLE, "")
+_PROTOTYPE = str.maketrans(_TABLE)
 _DIGIT = str.maketrans(PERSIAN_DIGITS, "0123456789")
 #: A text without any of these is in ordinary form already: what the table maps, and combining marks.
-_ODD = frozenset({*prototypes(), *SPACES, *INVISIBLE, *map(chr, (*range(0x300, 0x370), *range(0x653, 0x660), 0x670))})
+_ODD = re.compile("[" + "".join(map(re.escape, sorted({*prototypes(), *SPACES, *INVISIBLE, *map(chr, (*range(0x300, 0x370), *range(0x653, 0x660), 0x670))}))) + "]")
 _PERSIAN = frozenset(map(chr, (*range(0x620, 0x64B), *range(0x671, 0x6D4))))
 
 
@@ -34,12 +36,16 @@ def skeleton(text: str) -> str:
     return unicodedata.normalize("NFKD", once.translate(_DIGIT).replace(ZWNJ, "")).translate(_PROTOTYPE)
 
 
+def _prototype(m: re.Match) -> str:
+    return _TABLE.get(m.group(), m.group())
+
+
 def ordinary(text: str) -> str:
     """The readable form with ordinary letters, plain spaces and no stray invisible characters."""
-    if not _ODD.isdisjoint(text):
-        # prototypes first, so that a mark meets its ordinary base letter; composed again afterwards
-        text = unicodedata.normalize("NFC", unicodedata.normalize("NFC", text.translate(_PROTOTYPE)).translate(_PROTOTYPE))
-        text = text.replace("یٔ", "ئ")
+    if _ODD.search(text):
+        # prototypes first, so that a mark meets its ordinary base letter; what composes to an odd letter is mapped once more
+        text = unicodedata.normalize("NFC", _ODD.sub(_prototype, text))
+        text = _ODD.sub(_prototype, text).replace("یٔ", "ئ")
     return _within_words(text) if ZWNJ in text else text
 
 

@@ -20,6 +20,11 @@ def raw_words(text: str) -> list[str]:
     return _WORD.findall(ordinary(text))
 
 
+def split_ordinary(text: str) -> list[str]:
+    """Runs of letters or digits of a text in ordinary form."""
+    return _WORD.findall(text)
+
+
 def normal(word: str) -> str:
     """A word in lower case with ASCII digits."""
     return word.lower().translate(_DIGITS)
