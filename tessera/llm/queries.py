@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, confusables, cutoff, neardup, pii, repetition
+from tessera.llm import bpe, confusables, cutoff, neardup, packing, pii, repetition
 from tessera.session import table
 
 QUERIES = {
@@ -18,6 +18,8 @@ QUERIES = {
     "p7_groups": lambda s, d: neardup.groups(table(s, d, "listing")),
     "p8_ids": lambda s, d: bpe.encode(table(s, d, "documents")),
     "p8_counts": lambda s, d: bpe.count_tokens(table(s, d, "documents")),
+    "p9_containers": lambda s, d: packing.containers(table(s, d, "documents")),
+    "p9_summary": lambda s, d: packing.summary(packing.containers(table(s, d, "documents"))),
     "p10_found": lambda s, d: repetition.repeated(table(s, d, "documents")),
     "p10_profile": lambda s, d: repetition.profile(table(s, d, "documents")),
 }
