@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.operators import nested
+from tessera.operators import impute, nested, units
 from tessera.session import table
 
 QUERIES: dict = {
     "p1_found": lambda s, d: nested.flatten(table(s, d, "raw_record"), "record_id", ("card", "detail"), attributes=False).select("record_id", "node_path", "parent_path"),
     "p1_objects": lambda s, d: nested.flatten(table(s, d, "raw_record"), "record_id", ("card", "detail")),
     "p1_records": lambda s, d: nested.flatten(table(s, d, "raw_record"), "record_id", ("card", "detail"), roots=True).where("parent_path is null"),
+    "p3_found": lambda s, d: impute.matched(table(s, d, "listing"), table(s, d, "unit_ref")).select("listing_id", "field_name"),
+    "p3_matched": lambda s, d: impute.matched(table(s, d, "listing"), table(s, d, "unit_ref")),
+    "p3_filled": lambda s, d: impute.fill(table(s, d, "listing"), table(s, d, "unit_ref")),
+    "p5_found": lambda s, d: units.convert(table(s, d, "listing"), table(s, d, "unit_ref")).where("converted").select("listing_id", "field_name"),
+    "p5_converted": lambda s, d: units.convert(table(s, d, "listing"), table(s, d, "unit_ref")),
 }
 ORACLE: dict[str, str] = {}
 
