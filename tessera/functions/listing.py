@@ -110,8 +110,8 @@ def real(x: Column) -> Column:
 def money(x: Column) -> Column:
     """billions as B, millions as M, else with thousands separators; a dash for null."""
     return (
-        F.when(x.isNull(), "—").when(F.abs(x) >= 1e9, F.concat(F.format_number(x / 1e9, "0.00"), F.lit(" B")))
-        .when(F.abs(x) >= 1e6, F.concat(F.format_number(x / 1e6, "0.0"), F.lit(" M"))).otherwise(F.format_number(x, "#,##0"))
+        F.when(x.isNull(), "—").when(F.abs(x) >= 1e9, F.concat(F.call_function("format_number", x / 1e9, F.lit("0.00")), F.lit(" B")))
+        .when(F.abs(x) >= 1e6, F.concat(F.call_function("format_number", x / 1e6, F.lit("0.0")), F.lit(" M"))).otherwise(F.call_function("format_number", x, F.lit("#,##0")))
     )
 
 

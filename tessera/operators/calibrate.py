@@ -14,16 +14,17 @@ def grid_steps(low: float, high: float, n: int) -> list[float]:
 
 
 def _losses(samples: DataFrame, temperatures: list[float]) -> list[float]:
-    """Mean negative log-likelihood at each temperature in one pass; ``samples`` has (logits ARRAY<DOUBLE>, target INT)."""
-    columns = []
-    for i, t in enumerate(temperatures):
-        scaled = F.transform("logits", lambda x: x / t)
-        top = F.array_max(scaled)
-        total = F.aggregate(F.transform(scaled, lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x)
-        p = F.exp(F.get(scaled, F.col("target")) - top) / total
-        columns.append(F.avg(-F.ln(F.greatest(p, F.lit(FLOOR)))).alias(f"l{i}"))
-    row = samples.agg(*columns).first()
-    return [float(v) if v is not None else float("inf") for v in row]
+    """Mean negative log-likelihood at each temperature; ``samples`` has (logits ARRAY<DOUBLE>, target INT).
+
+    Every sample meets the grid (at most a few hundred numbers) and is folded into sums map-side.
+    """
+    spread = samples.select("target", "logits", F.posexplode(F.array(*map(F.lit, temperatures))).alias("i", "t"))
+    scaled = spread.select("i", "target", F.transform("logits", lambda x: x / F.col("t")).alias("z")).select("i", "target", "z", F.array_max("z").alias("top"))
+    total = F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
+    p = F.exp(F.get("z", F.col("target")) - F.col("top")) / total
+    rows = scaled.groupBy("i").agg(F.avg(-F.ln(F.greatest(p, F.lit(FLOOR)))).alias("loss")).collect()  # one row for each grid point
+    found = {r["i"]: r["loss"] for r in rows}
+    return [found.get(i, float("inf")) for i in range(len(temperatures))]
 
 
 def fit_temperature(samples: DataFrame, low: float = 0.1, high: float = 10.0, grid: int = 240, refined: int = 160, rounds: int = 2) -> tuple[float, float]:
@@ -31,14 +32,16 @@ def fit_temperature(samples: DataFrame, low: float = 0.1, high: float = 10.0, gr
 
     Every round is one aggregation over all samples; the driver sees one number for each grid point.
     """
+    from tessera.session import cut_lineage
+
+    samples = cut_lineage(samples)
     best, loss = 1.0, float("inf")
     a, b, n = low, high, grid
     for _ in range(rounds + 1):
         steps = grid_steps(a, b, n)
-        for start in range(0, n, 40):
-            for t, v in zip(steps[start : start + 40], _losses(samples, steps[start : start + 40])):
-                if v < loss:
-                    best, loss = t, v
+        for t, v in zip(steps, _losses(samples, steps)):
+            if v < loss:
+                best, loss = t, v
         a, b, n = best / 1.8, best * 1.8, refined
     return best, loss
 

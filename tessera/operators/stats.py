@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import cut_lineage
+
 MAD_SCALE = 1.4826
 
 
@@ -58,19 +60,23 @@ def global_robust_z(df: DataFrame, value: str, out: str) -> DataFrame:
     return _same(df, median_mad(df, [], value).select("med", "mad"), []).withColumn(out, _z(F.col(value), F.col("med"), F.col("mad"))).drop("med", "mad")
 
 
-def peer_robust_z(df: DataFrame, value: str, levels: list[list[str]], out: str, min_count: int = 8, clip: float = 8.0) -> DataFrame:
-    """|robust z| / clip within the narrowest level that has enough values, falling back to all rows, then 0."""
-    found = None
-    result = df
-    for i, keys in enumerate(levels):
-        s = median_mad(df, keys, value).withColumnsRenamed({"n": f"_n{i}", "med": f"_m{i}", "mad": f"_d{i}"})
-        result = _same(result, s, keys)
-        z = F.when(F.col(f"_n{i}") >= min_count, _z(F.col(value), F.col(f"_m{i}"), F.col(f"_d{i}")))
-        found = z if found is None else F.coalesce(found, z)
-    result = _same(result, median_mad(df, [], value).select(F.col("med").alias("_mg"), F.col("mad").alias("_dg")), [])
-    whole = _z(F.col(value), F.col("_mg"), F.col("_dg"))
-    z = F.coalesce(found, whole, F.lit(0.0))
-    return result.withColumn(out, F.least(F.abs(z), F.lit(clip)) / clip).select(*df.columns, out)
+def peer_robust_z(df: DataFrame, values: list[str], levels: list[list[str]], id_col: str, min_count: int = 8, clip: float = 8.0) -> DataFrame:
+    """(id, peer_anomaly_<value>...): |robust z| / clip within the narrowest level that has enough values, falling back to all rows, then 0.
+
+    All value columns go through a level together, as rows of (id, name, value): one set of shuffles for each level.
+    """
+    keys = list(dict.fromkeys(k for level in levels for k in level))
+    named = F.explode(F.array(*[F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("value")) for v in values]))
+    long = cut_lineage(df.select(id_col, *keys, named.alias("x")).select(id_col, *keys, "x.name", "x.value"))
+    found, result = [], long
+    for i, level in enumerate([*levels, []]):
+        s = median_mad(long, [*level, "name"], "value").withColumnsRenamed({"n": f"_n{i}", "med": f"_m{i}", "mad": f"_d{i}"})
+        result = _same(result, s, [*level, "name"])
+        z = _z(F.col("value"), F.col(f"_m{i}"), F.col(f"_d{i}"))
+        found.append(F.when(F.col(f"_n{i}") >= min_count, z) if level else z)
+    score = F.least(F.abs(F.coalesce(*found, F.lit(0.0))), F.lit(clip)) / clip
+    scored = result.select(id_col, "name", score.alias("z"))
+    return scored.groupBy(id_col).agg(*[F.max(F.when(F.col("name") == v, F.col("z"))).alias(f"peer_anomaly_{v}") for v in values])
 
 
 def quantile_rescale(df: DataFrame, value: str, out: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
@@ -87,8 +93,6 @@ def percent_rank_ties(df: DataFrame, value: str, out: str, parts: int = 64) -> D
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
     ranged = counts.repartitionByRange(parts, "_v").withColumn("_p", F.spark_partition_id())
-    from tessera.session import cut_lineage
-
     ranged = cut_lineage(ranged)
     before = ranged.groupBy("_p").agg(F.sum("_c").alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     within = F.sum("_c").over(Window.partitionBy("_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))

@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 def char_ngrams(df: DataFrame, id_col: str, text_col: str, low: int = 3, high: int = 5) -> DataFrame:
     """(id, term): character n-grams of words padded by a space, as many times as they occur; a padded word shorter than n gives itself once."""
     words = df.select(F.col(id_col), F.explode(F.split(F.lower(F.col(text_col)), r"\s+")).alias("_w")).where("_w <> ''").select(id_col, F.concat(F.lit(" "), "_w", F.lit(" ")).alias("_p"))
-    grams = [F.when(F.length("_p") >= n, F.transform(F.sequence(F.lit(1), F.length("_p") - (n - 1)), lambda i, n=n: F.substr("_p", i, F.lit(n)))).otherwise(F.array("_p") if n == low else F.array().cast("array<string>")) for n in range(low, high + 1)]
+
+    def of_length(n: int):
+        whole = F.transform(F.sequence(F.lit(1), F.length("_p") - (n - 1)), lambda i: F.substr("_p", i, F.lit(n)))
+        return F.when(F.length("_p") >= n, whole).otherwise(F.array("_p") if n == low else F.array().cast("array<string>"))
+
+    grams = [of_length(n) for n in range(low, high + 1)]
     return words.select(id_col, F.explode(F.concat(*grams)).alias("term"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import listing as L
 from tessera.operators import relational as R
 from tessera.operators import stats
-from tessera.session import table
+from tessera.session import cut_lineage, table
 
 NUMBERS = ["area_m2", "rooms", "year_built_shamsi", "deposit_toman", "rent_monthly_toman"]
 FLAGS = ["impossible_area", "impossible_rooms", "impossible_year", "negative_price", "rooms_area_ratio_bad"]
@@ -78,12 +78,10 @@ PRICE_COLUMNS = [f"equivalent_deposit_{m}_per_m2" for m in MULTIPLES]
 def market(df: DataFrame, min_count: int = 8, clip: float = 8.0) -> DataFrame:
     """M5: peer anomalies of the price columns and the robust market score; the central column counts twice in median and spread."""
     levels = [["neighborhood", "area_bucket", "rooms"], ["neighborhood", "area_bucket"], ["neighborhood"]]
-    out = df
-    for c in PRICE_COLUMNS:
-        out = stats.peer_robust_z(out, c, levels, f"peer_anomaly_{c}", min_count, clip)
     styled = [["contract_style", *x] for x in levels] + [["contract_style"]]
-    for c in ("deposit_per_m2", "rent_per_m2"):
-        out = stats.peer_robust_z(out, c, styled, f"peer_anomaly_{c}", min_count, clip)
+    peers = stats.peer_robust_z(df, PRICE_COLUMNS, levels, "listing_id", min_count, clip)
+    parts = stats.peer_robust_z(df, ["deposit_per_m2", "rent_per_m2"], styled, "listing_id", min_count, clip)
+    out = df.join(peers, "listing_id").join(parts, "listing_id")
     a, b, c = (F.col(f"peer_anomaly_{x}") for x in PRICE_COLUMNS)
     four = F.array_sort(F.array(a, b, b, c))
     eq = (F.get(four, F.lit(1)) + F.get(four, F.lit(2))) / 2
@@ -156,7 +154,8 @@ def reasons() -> Column:
 
 def scored(df: DataFrame) -> DataFrame:
     """Listings with features, market score, duplicate clusters and channels, without a model."""
-    base = market(features(clean(df)))
+    base = market(cut_lineage(features(clean(df)).drop("title", "description", "url", "structured_fields_json")))
+    base = base.join(df.select("listing_id", "description"), "listing_id")
     with_groups = base.join(duplicates(base).withColumnRenamed("id", "listing_id"), "listing_id", "left")
     return channels(with_groups.withColumn("market_anomaly_score", F.col("robust_market_anomaly")))
 

@@ -180,12 +180,13 @@ SELECT listing_id, round(least(abs(coalesce(z1, z2, z3, z4, 0)), 8) / 8, 6) AS p
 def q21(s, d):
     t = _listing(s, d)
     b = t.select("listing_id", F.col("neighborhood").alias("nb"), (F.floor(F.col("area_m2") / 20) * 20).cast("bigint").alias("bk"), F.col("rooms").alias("rm"), L.safe_div(F.col("deposit_toman"), F.col("area_m2")).alias("v"))
-    return stats.peer_robust_z(b, "v", [["nb", "bk", "rm"], ["nb", "bk"], ["nb"]], "peer").select("listing_id", _r(F.col("peer")).alias("peer"))
+    return stats.peer_robust_z(b, ["v"], [["nb", "bk", "rm"], ["nb", "bk"], ["nb"]], "listing_id").select("listing_id", _r(F.col("peer_anomaly_v")).alias("peer"))
 
 
 @query("q22_market")
 def q22(s, d):
-    return P.market(P.features(_listing(s, d), texts=False)).select("listing_id", "equivalent_price_anomaly", "equivalence_sensitivity", "contract_component_anomaly", "robust_market_anomaly")
+    narrow = P.features(_listing(s, d), texts=False).drop("title", "description", "url", "structured_fields_json")
+    return P.market(narrow).select("listing_id", "equivalent_price_anomaly", "equivalence_sensitivity", "contract_component_anomaly", "robust_market_anomaly")
 
 
 @query("q23_quantile_rescale", f"""WITH {_CLEAN}, q AS (SELECT quantile_cont(deposit_toman, 0.05) AS lo, quantile_cont(deposit_toman, 0.95) AS hi FROM l)
