@@ -427,6 +427,24 @@ def q70(s, d):
     return windowed(table(s, d, "events"), "1 day").select("event_type", F.col("window.start").alias("day"), "n", _r(F.col("total"), 4).alias("total"))
 
 
+@query("q71_normalized_records")
+def q71(s, d):
+    from tessera.sources import raw
+
+    return raw.normalize(table(s, d, "raw_record"), "record_id")
+
+
+@query("q72_blank_hints", """SELECT record_id, CASE WHEN json_valid(card) THEN card->>'$.token' END AS token, CASE WHEN json_valid(card) THEN card->>'$.district' END AS district FROM raw_record""")
+def q72(s, d):
+    t = table(s, d, "raw_record")
+    return t.select("record_id", F.get_json_object("card", "$.token").alias("token"), F.get_json_object("card", "$.district").alias("district"))
+
+
+@query("q73_clean_rooms_pivot", f"""WITH {_CLEAN} SELECT source, count(*) FILTER (WHERE rooms = 1) AS r1, count(*) FILTER (WHERE rooms = 2) AS r2, count(*) FILTER (WHERE rooms = 3) AS r3 FROM l WHERE source IS NOT NULL GROUP BY source""")
+def q73(s, d):
+    return _listing(s, d).where("source is not null").groupBy("source").agg(*[F.count_if(F.col("rooms") == n).alias(f"r{n}") for n in (1, 2, 3)])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The review queue's scores of every listing."""
     return q60(spark, sf_dir)
