@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.functions.chars import COMPOSED, INVISIBLE, PERSIAN_DIGITS, one_to_one
 from tessera.llm import bpe, confusables, cutoff, neardup, packing, pii, repetition
 from tessera.session import table
 
@@ -24,4 +25,14 @@ QUERIES = {
     "p10_profile": lambda s, d: repetition.profile(table(s, d, "documents")),
 }
 
-ORACLE: dict[str, str] = {}
+_PAIRS = {k: (str(PERSIAN_DIGITS.index(v)) if v in PERSIAN_DIGITS else v) for k, v in one_to_one().items()} | {d: str(i) for i, d in enumerate(PERSIAN_DIGITS)}
+_PLAIN = "translate(text, '" + "".join(_PAIRS).replace("'", "''") + INVISIBLE + "', '" + "".join(_PAIRS.values()).replace("'", "''") + "')"
+for _base, _mark, _whole in COMPOSED:
+    _PLAIN = f"replace({_PLAIN}, '{_base}{_mark}', '{_whole}')"
+
+ORACLE: dict[str, str] = {
+    "p10_found": rf"""WITH w AS (SELECT doc_id, regexp_extract_all(lower({_PLAIN}), '[\p{{L}}\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL),
+g AS (SELECT doc_id, len(w) AS n, i, array_to_string(w[i:i+4], ' ') AS g FROM w, unnest(range(1, len(w) - 3)) u(i)),
+r AS (SELECT doc_id, n, i, row_number() OVER (PARTITION BY doc_id, g ORDER BY i) AS k FROM g),
+c AS (SELECT DISTINCT doc_id, n, unnest(range(i, i + 5)) AS at FROM r WHERE k > 1) SELECT doc_id FROM c GROUP BY doc_id, n HAVING count(*) >= 0.3 * n""",
+}
