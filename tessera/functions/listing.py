@@ -19,6 +19,11 @@ TOKEN_PATTERN = "^[A-Za-z0-9_-]{6,64}$"
 PHONE_MARK = "[REDACTED_PHONE]"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` over ``value``, evaluated once; a plain reuse would be repeated in every branch of a condition."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize_text(value: Column) -> Column:
     """ASCII digits, Persian letters, joiners and direction marks to spaces, white space collapsed, trimmed, lower case; null gives ''."""
     s = F.translate(F.coalesce(value.cast("string"), F.lit("")), DIGITS_FROM + LETTERS_FROM, DIGITS_TO + LETTERS_TO)
@@ -32,17 +37,23 @@ def fa_to_en(value: Column) -> Column:
 
 
 def _contains_any(s: Column, words: list[str]) -> Column:
-    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(s, w))
+    found = F.contains(s, F.lit(words[0]))
+    for w in words[1:]:
+        found = found | F.contains(s, F.lit(w))
+    return found
 
 
 def parse_number(value: Column) -> Column:
     """first number times the first scale word found; null for blank or negotiable."""
-    s = normalize_text(fa_to_en(value))
-    scale = F.lit(1.0)
-    for word, by in reversed(SCALES):
-        scale = F.when(F.contains(s, F.lit(word)), by).otherwise(scale)
-    number = F.nullif(F.regexp_extract(F.replace(s, F.lit(","), F.lit("")), r"-?[0-9]+(?:\.[0-9]+)?", 0), F.lit("")).try_cast("double")
-    return F.when((s == "") | _contains_any(s, NO_PRICE_WORDS), F.lit(None)).otherwise(number * scale)
+
+    def of(s: Column) -> Column:
+        scale = F.lit(1.0)
+        for word, by in reversed(SCALES):
+            scale = F.when(F.contains(s, F.lit(word)), by).otherwise(scale)
+        number = F.nullif(F.regexp_extract(F.replace(s, F.lit(","), F.lit("")), r"-?[0-9]+(?:\.[0-9]+)?", 0), F.lit("")).try_cast("double")
+        return F.when((s == "") | _contains_any(s, NO_PRICE_WORDS), F.lit(None)).otherwise(number * scale)
+
+    return let(normalize_text(fa_to_en(value)), of)
 
 
 def parse_int(value: Column) -> Column:
@@ -52,9 +63,12 @@ def parse_int(value: Column) -> Column:
 
 def parse_bool(value: Column, strict: bool = False) -> Column:
     """yes words, then no words, else null; ``strict`` asks for no words first, since some contain a yes word."""
-    s = normalize_text(value)
-    yes, no = _contains_any(s, YES_WORDS), _contains_any(s, NO_WORDS)
-    return F.when(no, False).when(yes, True) if strict else F.when(yes, True).when(no, False)
+
+    def of(s: Column) -> Column:
+        yes, no = _contains_any(s, YES_WORDS), _contains_any(s, NO_WORDS)
+        return F.when(no, False).when(yes, True) if strict else F.when(yes, True).when(no, False)
+
+    return let(normalize_text(value), of)
 
 
 def redact_phones(text: Column) -> Column:
@@ -76,7 +90,10 @@ def area_mentions(text: Column) -> Column:
 
 def room_mentions(text: Column) -> Column:
     """counts before a room noun, in digits or words."""
-    s = normalize_text(text)
+    return let(normalize_text(text), _room_mentions)
+
+
+def _room_mentions(s: Column) -> Column:
     digits = [F.regexp_extract_all(s, F.lit(p), F.lit(1)) for p in (r"(?U)(?<!\d)(\d{1,2})\s*خواب", r"(?U)(?<!\d)(\d{1,2})\s*اتاق")]
     counted = F.filter(F.transform(F.concat(*digits), lambda x: x.try_cast("int")), lambda v: v.between(0, 20))
     words = [F.when(s.rlike(rf"(?:^|\s){w}\s*(?:خوابه|خواب|اتاق)(?:\s|$)"), F.lit(n)) for w, n in ROOM_WORDS.items()]

@@ -56,6 +56,11 @@ QUERIES |= {
     "p5_found": lambda s, d: units.convert(table(s, d, "listing"), table(s, d, "unit_ref")).where("converted").select("listing_id", "field_name"),
     "p5_converted": lambda s, d: units.convert(table(s, d, "listing"), table(s, d, "unit_ref")),
 }
+ORACLE["p1_found"] = r"""WITH f AS (SELECT record_id, 'card' AS field, card AS j FROM raw_record UNION ALL SELECT record_id, 'detail', detail FROM raw_record),
+v AS (SELECT record_id, field, CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(j::JSON->>'$') THEN j::JSON->>'$' END ELSE j END AS j FROM (SELECT * FROM f WHERE j IS NOT NULL AND json_valid(j))),
+t AS (SELECT v.record_id, v.field, replace(x.fullkey, '"', '') AS k FROM (SELECT * FROM v WHERE j IS NOT NULL) v, json_tree(v.j) x WHERE x.type = 'OBJECT' AND right(replace(x.fullkey, '"', ''), 1) = ']')
+SELECT a.record_id, a.field || substr(a.k, 2) AS node_path, coalesce((SELECT a.field || substr(arg_max(b.k, length(b.k)), 2) FROM t b WHERE b.record_id = a.record_id AND b.field = a.field AND length(b.k) < length(a.k)
+ AND (starts_with(a.k, b.k || '.') OR starts_with(a.k, b.k || '['))), a.field) AS parent_path FROM t a"""
 ORACLE["p3_found"] = """SELECT listing_id, 'area_m2' AS field_name FROM listing WHERE area_m2 IS NULL OR isnan(area_m2) OR area_m2 <= 0 OR area_m2 = 9999
 UNION ALL SELECT listing_id, 'rooms' FROM listing WHERE rooms IS NULL OR isnan(rooms) OR rooms < 0 OR rooms > 60
 UNION ALL SELECT listing_id, 'year_built_shamsi' FROM listing WHERE year_built_shamsi IS NULL OR isnan(year_built_shamsi) OR year_built_shamsi NOT BETWEEN 1200 AND 1450"""
@@ -210,6 +215,23 @@ def q25(s, d):
     return q.select("source", "n", *[_r(F.col(f"q{i}"), 4).alias(n) for i, n in enumerate(("q25", "q50", "q75"))])
 
 
+@query("q26_out_of_fold_means", f"""WITH {_CLEAN}, f AS (SELECT listing_id, source, rent_monthly_toman AS y, CAST(CAST('0x' || substr(md5(listing_id::VARCHAR), 1, 8) AS BIGINT) % 5 AS INT) AS fold FROM l),
+s AS (SELECT source, fold, sum(y) AS s, count(y) AS n FROM f GROUP BY ALL), w AS (SELECT source, sum(s) AS s, sum(n) AS n FROM s GROUP BY source)
+SELECT listing_id, round((w.s - coalesce(s.s, 0)) / nullif(w.n - coalesce(s.n, 0), 0), 2) AS expected FROM f LEFT JOIN w ON w.source IS NOT DISTINCT FROM f.source LEFT JOIN s ON s.source IS NOT DISTINCT FROM f.source AND s.fold = f.fold""")
+def q26(s, d):
+    from tessera.operators.price_model import out_of_fold_means
+
+    t = _listing(s, d).select("listing_id", "source", "rent_monthly_toman")
+    return out_of_fold_means(t, "listing_id", ["source"], "rent_monthly_toman").select("listing_id", _r(F.col("expected"), 2).alias("expected"))
+
+
+@query("q29_out_of_fold_boosting")
+def q29(s, d):
+    from tessera.operators.price_model import out_of_fold_boosting
+
+    return out_of_fold_boosting(_listing(s, d), "listing_id", ["area_m2", "rooms", "year_built_shamsi"], "deposit_toman")
+
+
 @query("q27_isolation_forest")
 def q27(s, d):
     t = P.features(_listing(s, d), texts=False).withColumn("lp", F.log1p("equivalent_deposit_30_per_m2"))
@@ -427,6 +449,13 @@ def q70(s, d):
     return windowed(table(s, d, "events"), "1 day").select("event_type", F.col("window.start").alias("day"), "n", _r(F.col("total"), 4).alias("total"))
 
 
+@query("q66_district_matches")
+def q66(s, d):
+    from tessera.sources.districts import resolve
+
+    return resolve(table(s, d, "listing"), "neighborhood", table(s, d, "district"))
+
+
 @query("q71_normalized_records")
 def q71(s, d):
     from tessera.sources import raw
