@@ -127,6 +127,7 @@ def test_cut_texts_are_found(spark):
 def test_alignment():
     assert cutoff.align("a b c d", "e", "x a b c d e f") == 1 and cutoff.align("a b c d", "e", "a b c d e. f") == -1
     assert cutoff.align("a b c d", "e", "a b c d elm. f") == 1 and cutoff.align("a b c d", "e", "q") == 0 and cutoff.align("a b c d", "e", "a b c d e") == 0
+    assert cutoff.align("a b c d", "e", "a b c d e, Follow me") == -1 and cutoff.align("a b c d", "e", "a b c d e, f") == 1
 
 
 # ------------------------------------------------------------ near duplicates
