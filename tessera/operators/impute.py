@@ -4,8 +4,9 @@ A predictor for each field takes the mean of the record's group (building, shrun
 and adds the within-group effect of the other fields, fitted over all complete records. Every cell without a real value then takes
 the observed value of a donor of its group whose prediction lies nearest; the donor's id comes with it.
 
-Groups may hold any share of the rows: their statistics are sums combined before the shuffle, and the nearest donor is searched in
-salted parts of bounded size, each of which holds donors from the whole range of predictions. All records are donors.
+Groups may hold any share of the rows: their statistics are sums combined before the shuffle, and large groups are searched in
+parts of bounded size, cut by prediction. The nearest donors of the other parts are carried across their borders, so that every cell
+gets the nearest donor of its whole group. All records are donors.
 
 Real values are positive and finite, no stand-ins, and years lie in YEARS; 0 rooms is real. A field nobody reports stays
 unfilled (null value and donor) but its cells are still listed. Equally near donors: the smaller id wins. Repeated ids fill alike.
@@ -13,12 +14,14 @@ unfilled (null value and donor) but its cells are still listed. Equally near don
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.chars import plain_text
 from tessera.operators.units import conversion_table, source_units
-from tessera.session import cut_lineage
+from tessera.session import cut_lineage, small_or_shuffled
 
 FIELDS = ("area_m2", "rooms", "year_built_shamsi")
 # Stand-ins and bounds of real values.
@@ -31,8 +34,11 @@ VARIABLES = (*FIELDS, "price")
 #: Observed values from which a building or neighbourhood gives its own donors, and weights of the wider group's mean.
 DONORS = {"building": 3, "neighbourhood": 10}
 SHRINK = {"building": 3.0, "neighbourhood": 5.0}
-#: Rows that one part of a group holds when donors are searched.
+#: Rows that one part of a group holds when donors are searched, and rows of the sample that cuts the parts from which one part is told.
 PART_ROWS = 20_000
+PART_SAMPLE = 16
+#: What donors are searched in.
+GROUP = ["field", "level", "group"]
 
 
 def real_value(field: str, value: Column) -> Column:
@@ -105,6 +111,66 @@ def predictions(base: DataFrame) -> DataFrame:
     return centred.select("*", *out)
 
 
+def _parts(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """The rows with code (of groups of more than PART_ROWS rows, else null) and part: no prediction of a part lies above one of a
+    later part; and whether any group has several.
+
+    Borders are taken from a sample by id. Rows that share their prediction with several borders are spread over the parts between.
+    """
+    sizes = rows.groupBy(*GROUP).agg(F.count("*").alias("n")).where(F.col("n") > PART_ROWS).select(*GROUP)
+    codes = cut_lineage(sizes.withColumn("code", F.monotonically_increasing_id()))  # fewer than one for PART_ROWS rows
+    every = max(1, PART_ROWS // PART_SAMPLE)
+    sampled = rows.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(every)) == 0).join(F.broadcast(codes), GROUP).select("code", "p", "id")
+    numbered = sampled.withColumn("i", F.row_number().over(Window.partitionBy("code").orderBy("p", "id")))
+    borders: dict[int, list[float]] = {}
+    for r in numbered.where(F.col("i") % PART_SAMPLE == 0).orderBy("code", "i").select("code", "p").collect():  # one for each part
+        borders.setdefault(r.code, []).append(r.p)
+
+    @F.arrow_udf("int")
+    def part(code: pa.Array, p: pa.Array, mixed: pa.Array) -> pa.Array:
+        at, x, h = code.to_numpy(zero_copy_only=False), p.to_numpy(zero_copy_only=False), mixed.to_numpy(zero_copy_only=False)
+        out = np.zeros(len(at), np.int32)
+        for c in np.unique(at):
+            if c in borders:
+                mine = np.flatnonzero(at == c)
+                first, last = (np.searchsorted(borders[c], x[mine], side) for side in ("left", "right"))
+                out[mine] = first + h[mine] % (last - first + 1)
+        return pa.array(out)
+
+    if not borders:
+        return rows.withColumn("part", F.lit(0)), False
+    mixed = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30))
+    return rows.join(F.broadcast(codes), GROUP, "left").withColumn("part", part(F.coalesce("code", F.lit(-1)), "p", mixed)), True
+
+
+def _neighbours(rows: DataFrame) -> DataFrame:
+    """The wanting rows with below and above: (p, id, value) of the nearest donors of their group on either side, the smaller id of equally near ones."""
+    parted, several = _parts(rows)
+    donor = F.when(~F.col("wanting"), F.struct("p", "id", "value"))
+    parts = Window.partitionBy(*GROUP, "part")
+    below = F.last(donor, ignorenulls=True).over(parts.orderBy("p", "wanting", F.col("id").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    above = F.last(donor, ignorenulls=True).over(parts.orderBy(F.col("p").desc(), "wanting", F.col("id").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    near = parted.withColumn("below", below).withColumn("above", above).where("wanting")
+    if not several:
+        return near
+    # lowest and highest donor of each part (smallest id), then the nearest ones of all parts before and after
+    ids = parted.where("code is not null").groupBy("code", "part", "p").agg(F.min(F.when(~F.col("wanting"), F.struct("id", "value"))).alias("d"))
+    whole = F.when(F.col("d").isNotNull(), F.struct("p", F.col("d.id").alias("id"), F.col("d.value").alias("value")))
+    ends = cut_lineage(ids.groupBy("code", "part").agg(F.min(whole).alias("low"), F.max(whole).alias("high")))  # one row for each part of large groups
+    before = Window.partitionBy("code").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("code").orderBy(F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    top = F.max("high.p").over(before)
+    ends = ends.withColumn("top", top).withColumn("next", F.min("low").over(after))
+    # equal predictions may end several parts
+    others = ends.select("code", F.col("high.p").alias("top"), F.col("part").alias("_part"), F.col("high").alias("_high"))
+    lasts = ends.join(others, ["code", "top"]).where("_part < part").groupBy("code", "part").agg(F.min("_high").alias("previous"))
+    carried = ends.select("code", "part", "next").join(lasts, ["code", "part"], "left")
+    joined = near.join(small_or_shuffled(cut_lineage(carried)), ["code", "part"], "left")
+    own, other = F.col("below"), F.col("previous")
+    nearer = own.isNotNull() & (other.isNull() | (own["p"] > other["p"]) | ((own["p"] == other["p"]) & (own["id"] <= other["id"])))
+    return joined.withColumn("below", F.when(nearer, own).otherwise(other)).withColumn("above", F.least("above", "next"))
+
+
 def matched(listings: DataFrame, unit_ref: DataFrame, id_col: str = "listing_id") -> DataFrame:
     """(id, field_name, stored, filled_value, donor_id, donor_group, filled) of every cell that holds no real value."""
     predicted = predictions(cut_lineage(_base(listings, unit_ref, id_col)))
@@ -124,14 +190,8 @@ def matched(listings: DataFrame, unit_ref: DataFrame, id_col: str = "listing_id"
     as_donor = F.explode(F.array(F.struct(F.lit("building").alias("level"), F.col("building").alias("group")), F.struct(F.lit("neighbourhood").alias("level"), F.col("neighbourhood").alias("group")), F.struct(F.lit("all").alias("level"), F.lit("").alias("group"))))
     donors = long.where("value is not null").select("field", "id", "p", "value", as_donor.alias("g")).select("field", "g.level", "g.group", "id", "p", "value")
     useful = donors.join(asked, ["field", "level", "group"], "left_semi")
-    sizes = useful.groupBy("field", "level", "group").agg(F.count("*").alias("n"))
-    rows = missing.unionByName(useful.select("field", "level", "group", "id", "p", F.lit(None).cast("double").alias("stored"), "value", F.lit(False).alias("wanting")))
-    salted = rows.join(sizes, ["field", "level", "group"], "left").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.coalesce("n", F.lit(1)) / PART_ROWS)))
-    donor = F.when(~F.col("wanting"), F.struct("p", "id", "value"))
-    parts = Window.partitionBy("field", "level", "group", "part")
-    below = F.last(donor, ignorenulls=True).over(parts.orderBy("p", "wanting", F.col("id").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    above = F.last(donor, ignorenulls=True).over(parts.orderBy(F.col("p").desc(), "wanting", F.col("id").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    near = salted.withColumn("below", below).withColumn("above", above).where("wanting")
+    rows = missing.unionByName(useful.select(*GROUP, "id", "p", F.lit(None).cast("double").alias("stored"), "value", F.lit(False).alias("wanting")))
+    near = _neighbours(rows)
     down, up = F.abs(F.col("p") - F.col("below.p")), F.abs(F.col("above.p") - F.col("p"))
     best = F.when(F.col("above").isNull() | (down < up) | ((down == up) & (F.col("below.id") <= F.col("above.id"))), F.col("below")).otherwise(F.col("above"))
     chosen = near.withColumn("best", best)

@@ -80,6 +80,32 @@ def test_filling(spark, unit_ref):
     assert wide.where("year_built_shamsi is null or rooms is null").count() == 0 and wide.where("rooms_filled").count() == 60
 
 
+def test_nearest_donor_of_large_groups(spark, unit_ref, monkeypatch):
+    monkeypatch.setattr(impute, "PART_ROWS", 48)  # groups of 900 rows have many parts
+    rng = random.Random(5)
+    made = []
+    for i in range(900):
+        area = 40.0 + 100 * rng.random()
+        # every fourth row has nothing to tell it from others: equal predictions
+        row = {"listing_id": i, "neighborhood": f"n{i % 2}" if i % 3 else None, "area_m2": area if i % 4 else None, "rooms": float(int(area // 25)), "year_built_shamsi": float(1350 + i % 50), "deposit_toman": area * 1e7 if i % 4 else None}
+        if i % 7 == 3:
+            row["year_built_shamsi"] = None
+        if i % 9 == 4:
+            row["rooms"] = None
+        made.append(row)
+    df = rows(spark, *made)
+    predicted = {r.id: r for r in impute.predictions(impute._base(df, unit_ref, "listing_id")).collect()}
+    out = {(r.listing_id, r.field_name): r for r in impute.matched(df, unit_ref).collect()}
+    checked = 0
+    for (i, field), r in out.items():
+        me = predicted[i]
+        group = [p for p in predicted.values() if p[field] is not None and (r.donor_group == "all" or p[r.donor_group] == me[r.donor_group])]
+        near = min(group, key=lambda p: (abs(p[f"p_{field}"] - me[f"p_{field}"]), p.id))
+        assert r.donor_id == near.id, (i, field, r.donor_group)
+        checked += 1
+    assert checked > 400 and {r.donor_group for r in out.values()} == {"all", "neighbourhood"}
+
+
 def test_filling_without_donors(spark, unit_ref):
     out = impute.matched(rows(spark, {"rooms": None, "year_built_shamsi": None}, {"rooms": None, "neighborhood": None}), unit_ref).collect()
     assert len(out) == 5 and {r.field_name for r in out if not r.filled} == {"area_m2", "rooms"}
