@@ -130,6 +130,14 @@ def test_alignment():
     assert cutoff.align("a b c d", "e", "a b c d e, Follow me") == -1 and cutoff.align("a b c d", "e", "a b c d e, f") == 1
 
 
+def test_field_limits_of_each_source(spark):
+    schema = "id long, text_id long, source string, n_chars int, style int"
+    made = [("small", 480, 22, 1), ("small", 479, 5, 1), ("small", 478, 1, 1), *[("large", n, 28, 1) for n in range(460, 500)], ("copied", 300, 40, 0), (None, 90, 9, 1), ("chance", 90, 1, 1)]
+    rows = [(1000 * i + k, 1000 * i + k * own, source, n, 1) for i, (source, n, count, own) in enumerate(made) for k in range(count)]
+    got = {tuple(r) for r in cutoff.field_limits(spark.createDataFrame(rows, schema)).select("source", "n_chars").collect()}
+    assert got == {("small", 480), ("small", 479), ("small", 478), (None, 90)}  # one text in 40 rows and even spreads are no limits
+
+
 # ------------------------------------------------------------ near duplicates
 
 
