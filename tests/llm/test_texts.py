@@ -138,6 +138,24 @@ def test_field_limits_of_each_source(spark):
     assert got == {("small", 480), ("small", 479), ("small", 478), (None, 90)}  # one text in 40 rows and even spreads are no limits
 
 
+def test_copies_in_crowded_bands(spark, monkeypatch):
+    rng = random.Random(12)
+    text = advert(rng, 12)
+    at = text.index("است", 200) - 8  # inside a sentence
+    rows = [(i, text + f" پایان{i}") for i in range(60)] + [(100 + i, text[: at + i % 2]) for i in range(20)] + [(200, advert(rng, 12))]
+    df = spark.createDataFrame(rows, "listing_id long, description string").withColumn("source", F.lit("s"))
+    ends = cutoff.closings(df, "listing_id", "description", "source").localCheckpoint()
+    of_text = ends.select("id", "text_id")
+
+    def judged():
+        return {r.id: (r.goes_on > 0, r.ends_there > 0) for r in cutoff.aligned(df, ends, "listing_id", "description").join(of_text, "text_id").collect()}
+
+    want = {i: v for i, v in judged().items() if i >= 100}
+    assert set(want) == set(range(100, 120)) and all(v == (True, False) for v in want.values())
+    monkeypatch.setattr(cutoff, "BAND_TEXTS", 3)
+    assert {i: v for i, v in judged().items() if i >= 100 and any(v)} == want
+
+
 # ------------------------------------------------------------ near duplicates
 
 
