@@ -156,6 +156,13 @@ def test_copies_in_crowded_bands(spark, monkeypatch):
     assert {i: v for i, v in judged().items() if i >= 100 and any(v)} == want
 
 
+def test_ends_behind_a_mark(spark):
+    cut = ["deposit 590m toman and monthly rent 22,", "کرایه ماهانه ۹۰,۰۰۰,", "پیش پرداخت،", "rooms:", "a and/", "big rooms -", "rooms (", "rooms («"]
+    whole = ["big rooms.", "big rooms!", "big rooms؟", "big rooms ✅", "(big rooms)", "«big rooms»"]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(cut + whole)], "listing_id long, description string, source string")
+    assert {r.listing_id for r in cutoff.truncated(df).collect()} == set(range(len(cut)))
+
+
 # ------------------------------------------------------------ near duplicates
 
 
