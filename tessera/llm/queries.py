@@ -16,7 +16,7 @@ QUERIES = {
     "p6_neighborhood_groups": lambda s, d: confusables.groups(table(s, d, "listing"), "neighborhood"),
     "p6_title_groups": lambda s, d: confusables.groups(table(s, d, "listing"), "title"),
     "p7_found": lambda s, d: neardup.listing_pairs(table(s, d, "listing")),
-    "p7_groups": lambda s, d: neardup.groups(table(s, d, "listing")),
+    "p7_groups": lambda s, d: neardup.listing_groups(table(s, d, "listing")),
     "p8_ids": lambda s, d: bpe.encode(table(s, d, "documents")),
     "p8_counts": lambda s, d: bpe.count_tokens(table(s, d, "documents")),
     "p9_containers": lambda s, d: packing.containers(table(s, d, "documents")),

@@ -210,3 +210,14 @@ def test_crowded_tables_and_copies(spark, monkeypatch):
     got = {(r.listing_id_a, r.listing_id_b) for r in neardup.listing_pairs(df).collect()}
     assert {(a, b) for a, b in itertools.combinations(range(12), 2)} <= got  # split tables lose no link
     assert {(100, 100 + i) for i in range(1, 9)} <= got and (101, 102) not in got and {(i, 100) for i in range(12)} <= got
+
+
+def test_groups_of_every_listing(spark):
+    rng = random.Random(10)
+    long = advert(rng, 9)
+    rows = [(1, long, "a b"), (2, long + " پایان", None), (3, "short ad", "a b"), (4, "Short  ad", "one two three"), (5, None, "one two three four"), (6, "", "!"), (7, "🏠", "!"), (8, "one two three", "x"), (9, "one two three four", "y"), (10, "big home with five words here", None), (11, "big home with five words", None)]
+    df = spark.createDataFrame(rows, "listing_id long, description string, title string")
+    got = {r.listing_id: r for r in neardup.listing_groups(df).collect()}
+    assert {i: r.group_id for i, r in got.items()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6, 7: 7, 8: 8, 9: 8, 10: 10, 11: 10}
+    assert {i: r.title_group_id for i, r in got.items()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8, 9: 9, 10: 10, 11: 11}
+    assert got[4].class_id == 3 and got[9].class_id == 9 and got[9].links == 1
