@@ -29,10 +29,15 @@ def out_of_fold_means(df: DataFrame, id_col: str, group: list[str], target: str,
     return joined.select(id_col, F.when(n > 0, (F.col("_all_s") - F.coalesce("_s", F.lit(0.0))) / n).alias("expected"))
 
 
-def out_of_fold_boosting(df: DataFrame, id_col: str, features: list[str], target: str, folds: int = 3, iterations: int = 20, depth: int = 4, step: float = 0.1, seed: int = 42) -> DataFrame:
+def fold_count(n: int) -> int:
+    """Folds for n rows with a target."""
+    return min(5, max(3, n // 20))
+
+
+def out_of_fold_boosting(df: DataFrame, id_col: str, features: list[str], target: str, folds: int | None = None, iterations: int = 220, depth: int = 4, step: float = 0.055, seed: int = 42) -> DataFrame:
     """(id, expected, ratio, signed_log_residual, anomaly): gradient-boosted trees on log1p of the target, medians fill gaps.
 
-    Rows with a target of 0 or less, or none, get no expectation. Fewer than 40 such rows give none at all.
+    Folds are as many as fold_count() tells unless given. Rows with a target of 0 or less, or none, get no expectation. Fewer than 40 such rows give none at all.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
@@ -40,10 +45,13 @@ def out_of_fold_boosting(df: DataFrame, id_col: str, features: list[str], target
     medians = {f: group_quantiles(df, [], f).first() for f in features}
     filled = {f: F.coalesce(F.col(f).cast("double"), F.lit(float(m["q0"]) if m and m["q0"] is not None else 0.0)) for f, m in medians.items()}
     y = F.when(F.col(target) > 0, F.log1p(target))
-    rows = cut_lineage(df.select(F.col(id_col).alias("id"), *[c.alias(f"x_{f}") for f, c in filled.items()], F.col(target).cast("double").alias("actual"), y.alias("y"), fold_of(F.col(id_col), folds).alias("fold")).where("y is not null"))
+    rows = cut_lineage(df.select(F.col(id_col).alias("id"), *[c.alias(f"x_{f}") for f, c in filled.items()], F.col(target).cast("double").alias("actual"), y.alias("y")).where("y is not null"))
     schema = "id " + dict(df.dtypes)[id_col] + ", expected double, ratio double, signed_log_residual double, anomaly double"
-    if rows.count() < 40:
+    n = rows.count()
+    if n < 40:
         return df.sparkSession.createDataFrame([], schema).withColumnRenamed("id", id_col)
+    folds = folds or fold_count(n)
+    rows = rows.withColumn("fold", fold_of(F.col("id"), folds))
     assembled = VectorAssembler(inputCols=[f"x_{f}" for f in features], outputCol="v").transform(rows)
     out = None
     for k in range(folds):

@@ -60,6 +60,11 @@ def neighbours(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, k:
     return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumnRenamed("id", id_col)
 
 
+def lof_neighbours(n: int) -> int:
+    """Neighbours that the local outlier factor of n rows looks at."""
+    return min(25, max(8, n // 12), n - 1)
+
+
 def local_outlier_factor(rows: DataFrame, id_col: str, vector: str, k: int) -> DataFrame:
     """L3: (id, lof) with exactly k neighbours, ties by id (Breunig et al. 2000)."""
     near = neighbours(rows, rows, id_col, vector, k, "euclidean")

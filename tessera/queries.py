@@ -235,12 +235,13 @@ def q29(s, d):
 @query("q27_isolation_forest")
 def q27(s, d):
     t = P.features(_listing(s, d), texts=False).withColumn("lp", F.log1p("equivalent_deposit_30_per_m2"))
-    return vectors.isolation_forest(t, "listing_id", ["area_m2", "rooms", "year_built_shamsi", "lp"], trees=100)
+    return vectors.isolation_forest(t, "listing_id", ["area_m2", "rooms", "year_built_shamsi", "lp"])
 
 
 @query("q28_lof")
 def q28(s, d):
-    return vectors.local_outlier_factor(table(s, d, "embeddings"), "vec_id", "embedding", 10)
+    t = table(s, d, "embeddings")
+    return vectors.local_outlier_factor(t, "vec_id", "embedding", vectors.lof_neighbours(t.count()))
 
 
 @query("q30_char_ngrams", """WITH w AS (SELECT DISTINCT unnest(string_split(lower(title), ' ')) AS w FROM listing WHERE title IS NOT NULL), p AS (SELECT ' ' || w || ' ' AS p FROM w WHERE w <> ''),

@@ -151,3 +151,15 @@ def test_char_ngrams_and_tfidf(spark):
     assert sum(r.weight**2 for r in w if r.id == 1) == pytest.approx(1)
     best = textsim.similar(textsim.tfidf(spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "id int, term string"), "id", "term"), "id", spark.createDataFrame([(1,)], "id int"), 2).collect()
     assert [(r.id, r.neighbour, round(r.similarity, 6)) for r in best] == [(1, 2, 1.0)]
+
+
+def test_fixed_work_of_models():
+    import inspect
+
+    from tessera import queries
+    from tessera.operators import price_model, vectors
+
+    given = {k: v.default for k, v in inspect.signature(price_model.out_of_fold_boosting).parameters.items()}
+    assert (given["iterations"], given["step"], given["folds"]) == (220, 0.055, None) and [price_model.fold_count(n) for n in (40, 79, 80, 30_000)] == [3, 3, 4, 5]
+    assert inspect.signature(vectors.isolation_forest).parameters["trees"].default == 300 and "trees=" not in inspect.getsource(queries.q27)
+    assert [vectors.lof_neighbours(n) for n in (5, 60, 120, 300, 10_000)] == [4, 8, 10, 25, 25]
