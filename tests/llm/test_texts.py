@@ -3,10 +3,12 @@
 import itertools
 import random
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions.chars import PLAIN_CLASS
 from tessera.llm import confusables, cutoff, neardup, pii, repetition, sketch
 
 
@@ -16,13 +18,26 @@ from tessera.llm import confusables, cutoff, neardup, pii, repetition, sketch
 @pytest.mark.parametrize(
     "odd, plain",
     [("Кabul", "Kabul"), ("ＡＢ１２", "AB12"), ("كتابي", "کتابی"), ("cáfé", "cáfé"), ("آب", "آب"), ("سوئيت", "سوئیت"), ("a b c", "a b c"), ("س​ل⁠ام﻿", "سلام"),
-     ("می‌شود", "می‌شود"), ("‌می ‌شود‌", "می شود"), ("کم⁠‌واحد", "کم‌واحد"), ("a‌b", "ab"), ("٣ و ۳ 3", "۳ و ۳ 3"), ("🏠�", "🏠�"), ("", ""), ("décor", "décor"), ("ﺍﺏ", "اب"), ("خانہ", "خانه"), ("می‌‌شود", "می‌شود")],
+     ("می‌شود", "می‌شود"), ("‌می ‌شود ‌", "می شود "), ("کابینت‌...", "کابینت‌..."), ("می‌", "می‌"), ("Москва", "Москва"), ("А b", "A b"), ("𝐊abul", "Kabul"), ("ⅳ", "iv"), ("①ⓐm²™½…", "①ⓐm²™½…"),
+     ("خانهٔ", "خانۀ"), ("Это А", "Это А"), ("ꓐꓳꓫ", "BOX"), ("Å", "Å"), ("‌ ﬁn", " fin"), ("کم⁠‌واحد", "کم‌واحد"), ("a‌b", "ab"), ("٣ و ۳ 3", "۳ و ۳ 3"), ("🏠�", "🏠�"), ("", ""), ("décor", "décor"), ("ﺍﺏ", "اب"), ("خانہ", "خانه"), ("می‌‌شود", "می‌شود")],
 )
 def test_ordinary(odd, plain):
     assert confusables.ordinary(odd) == plain and confusables.ordinary(plain) == plain
     assert confusables.skeleton(odd) == confusables.skeleton(plain)
 
 
+def test_equal_skeletons_have_one_ordinary_form():
+    rng = random.Random(3)
+    blocks = (range(0x20, 0x250), range(0x300, 0x530), range(0x600, 0x700), range(0x1D400, 0x1D420), range(0x2000, 0x2190), range(0xFB50, 0xFDFE), range(0xFF01, 0xFF5F), [0x200C] * 40)
+    pool = [chr(x) for b in blocks for x in b if unicodedata.category(chr(x)) != "Cn"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(pool) for _ in range(rng.randrange(1, 7)))
+        once = confusables.ordinary(text)
+        assert once == confusables.recomposed(confusables.skeleton(text)) == confusables.ordinary(once) and confusables.skeleton(once) == confusables.skeleton(text), ascii(text)
+    plain = re.compile("[" + re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), PLAIN_CLASS) + "]")
+    assert all(confusables.ordinary(ch) == ch for ch in map(chr, (*range(0xD800), *range(0xE000, 0x20000))) if plain.match(ch) and ch != confusables.ZWNJ)  # what never leaves the JVM
+
+
 def test_changed_fields_and_groups(spark):
     rows = [(1, "Кab", None, "ري"), (2, "Kab", "", "ری"), (3, None, "می‌شود", "ری"), (4, "x‌ y", "a" * 50_000 + "​", "")]
     df = spark.createDataFrame(rows, "listing_id long, title string, description string, neighborhood string").withColumn("changed", F.lit(1))
