@@ -89,7 +89,10 @@ def kinds(text):
      ("کد ملی ۹۸۳۷۱۷۸۶۰۴ و کد فایل ۸۰۳۹۶۵۹۷۵۵", ["national_id"]), ("national ID 978-818795-1.", ["national_id"]), ("کد ملی 9837178605", []),
      ("نشانی: خ ریگتا خ برفکوی پلاک 80 زنگ 1.", ["address"]), ("خیابان پروند، کوچه رودکوی، پلاک ۱۷۹", ["address"]), ("The place is at No. 131, Ayinmehr Alley, Khorbanu St.", ["address"]),
      ("at Unit 9, 13 Hirdis Lane", ["address"]), ("Badgir Avenue, plate 88, floor 6, ring +98 949 608 4878", ["address", "phone"]), ("بلوار گلستان را تا پل بیایید و سر کوچه تاب بپیچید", []),
-     ("دکتر شیرین کبک‌پور پاسخگوی شماست", ["person"]), ("میدان سپیدتباری کنار فروشگاه خانم تنها", []), ("Write to Mr. Behnam Nurmanesh at shan.een@post-gah.invalid", ["person", "email"]), ("", []), (None, [])],
+     ("دکتر شیرین کبک‌پور پاسخگوی شماست", ["person"]), ("میدان سپیدتباری کنار فروشگاه خانم تنها", []), ("Write to Mr. Behnam Nurmanesh at shan.een@post-gah.invalid", ["person", "email"]),
+     ("واریز به کارت ۴۵۳۹-۵۷۸۷-۶۳۶۲-۱۴۸۶ یا شبا", ["card"]), ("card 4539 5787 6362 1487", []), ("IBAN GB82 WEST 1234 5698 7654 32 please", ["iban"]), ("IBAN GB83 WEST 1234 5698 7654 32", []),
+     ("مالک گلپر شاخه‌پور است", ["person"]), ("گلپر شاخه‌پور باغ است", []), ("The owner Zubin Khosropour holds it", ["person"]), ("Zubin Khosropour", []), ("مالک میدان سپیدپور", []),
+     ("کد فایل 09074397233", []), ("ask for Leila Chamanzadeh", ["person"]), ("", []), (None, [])],
 )
 def test_mentions(text, want):
     assert kinds(text) == want
