@@ -78,14 +78,18 @@ def minima(values: np.ndarray, offsets: np.ndarray, seeds: np.ndarray) -> np.nda
     if len(filled):
         at = offsets[:-1][filled]
         for j, seed in enumerate(seeds):
-            # a xor, an odd multiplier and a shift give one pseudo-random order for each seed
-            h = (values ^ seed) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-            h *= (seed | np.uint64(1))
-            out[filled, j] = np.minimum.reduceat(h, at)
+            out[filled, j] = np.minimum.reduceat(ordered(values, seed), at)
     return out
 
 
+def ordered(values: np.ndarray, seed: np.uint64) -> np.ndarray:
+    """Places of hashes in the pseudo-random order of a seed: a xor, an odd multiplier and a shift."""
+    h = (values ^ seed) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h *= seed | np.uint64(1)
+    return h
+
+
 def seeds(count: int, salt: int) -> np.ndarray:
     """Fixed pseudo-random seeds."""
     return mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt))

@@ -143,9 +143,51 @@ def test_cut_texts_are_found(spark):
 
 
 def test_alignment():
-    assert cutoff.align("a b c d", "e", "x a b c d e f") == 1 and cutoff.align("a b c d", "e", "a b c d e. f") == -1
-    assert cutoff.align("a b c d", "e", "a b c d elm. f") == 1 and cutoff.align("a b c d", "e", "q") == 0 and cutoff.align("a b c d", "e", "a b c d e") == 0
-    assert cutoff.align("a b c d", "e", "a b c d e, Follow me") == -1 and cutoff.align("a b c d", "e", "a b c d e, f") == 1
+    whole = "one two three four five six seven eight nine ten. eleven twelve thirteen, Fourteen fifteen sixteen"
+    cases = {
+        "one two three four five six seven eight": 1, "one two three four five six seven eight ni": 1, "one two three four five six seven eight nine ten": -1, "one two three four five six seven eight nine ten.": -1,
+        "one two three four five six seven eight changed ten": -1, "one two three four five six seven eight changed nin": 1, "q": 0, whole: 0, "": 0, "one two three four five six seven eight nine other": 0,
+        "one two three four five six seven eight nine ten. eleven twelve thirteen": -1, "red blue green black white six seven eight nine": 0, "one two three four five": 0, "one two three four five six": 1,
+    }
+    assert {t: cutoff.align(t, whole) for t in cases} == cases
+    assert cutoff.align("a b c d e f a b c d e g", "a b c d e f a b c d e g h") == 1 and cutoff.align("x " * 5000 + "y", "x " * 5000 + "y z") == 1
+
+
+def test_edited_copies_tell_cuts(spark):
+    rng = random.Random(14)
+    rows, cut, short = [], set(), set()
+    for i in range(120):
+        text = advert(rng, 10)
+        rows.append((10 * i, text))
+        if i % 3:
+            words = text.split(" ")
+            at = rng.randrange(len(words) // 2, len(words) - 4)
+            while words[at - 1].endswith("."):
+                at -= 1
+            part = words[:at]
+            part[rng.randrange(at - 3)] = f"تازه{rng.randrange(99)}"
+            rows.append((10 * i + 1, " ".join(part) + ["", "...", "�"][i % 3]))
+            cut.add(10 * i + 1)
+        else:
+            rows.append((10 * i + 1, ". ".join(text.split(". ")[: rng.randrange(4, 8)])))
+            short.add(10 * i + 1)
+    df = spark.createDataFrame(rows, "listing_id long, description string").withColumn("source", F.lit("s"))
+    got = {r.listing_id: r for r in cutoff.verdicts(df).collect()}
+    told = {i for i in cut if got[i].evidence == "copy" and got[i].truncated}
+    assert len(told | {i for i in cut if got[i].evidence == "character"}) >= 0.9 * len(cut) and all(got[i].truncated for i in told)
+    assert sum(got[i].evidence == "copy" for i in short) >= 0.8 * len(short) and not any(got[i].truncated for i in short if got[i].evidence == "copy")
+
+
+def test_verdicts_do_not_depend_on_batches_or_partitions(spark):
+    rng = random.Random(15)
+    rows = [(i, advert(rng, 4)[: rng.randrange(60, 400)], f"s{i % 2}") for i in range(300)]
+    got = []
+    for size, parts in ((50, 4), (200, 4), (10_000, 1), (10_000, 16)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        df = spark.createDataFrame(rows, "listing_id long, description string, source string").repartition(parts)
+        got.append(sorted(tuple(r) for r in cutoff.verdicts(df).select("listing_id", "truncated", "evidence", "terminality").collect()))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(g == got[0] for g in got[1:]) and {r[1] for r in got[0]} == {True, False}
 
 
 def test_field_limits_of_each_source(spark):
@@ -162,7 +204,7 @@ def test_copies_in_crowded_bands(spark, monkeypatch):
     at = text.index("است", 200) - 8  # inside a sentence
     rows = [(i, text + f" پایان{i}") for i in range(60)] + [(100 + i, text[: at + i % 2]) for i in range(20)] + [(200, advert(rng, 12))]
     df = spark.createDataFrame(rows, "listing_id long, description string").withColumn("source", F.lit("s"))
-    ends = cutoff.closings(df, "listing_id", "description", "source").localCheckpoint()
+    ends, _ = cutoff.survey(df, "listing_id", "description", "source")
     of_text = ends.select("id", "text_id")
 
     def judged():
@@ -183,14 +225,15 @@ def test_ends_behind_a_mark(spark):
 
 def test_rates_of_kinds_do_not_depend_on_batches(spark):
     rng = random.Random(4)
-    texts = [f"common words stand here. rare{'abcdefgh'[i % 8]}{chr(97 + i)}x{' and' if i % 2 else '.'} خانه‌{'ابپت'[i % 4]}{'جدرز'[i // 4 % 4]} است. {advert(rng, 2)}" for i in range(20)]
-    keys = spark.createDataFrame([("0 a",), ("0 ف",), ("1 common",)], "key string")
+    texts = [(i, f"common words stand here. rare{'abcdefgh'[i % 8]}{chr(97 + i)}x{' and' if i % 2 else '.'} خانه‌{'ابپت'[i % 4]}{'جدرز'[i // 4 % 4]} است. {advert(rng, 2)}", "s") for i in range(20)]
+    common = int(sketch.combine([sketch.np.array([sketch.xxhash.xxh64_intdigest("common")], sketch.np.uint64)], 1).view(sketch.np.int64)[0])
+    latin = cutoff.kind_key(cutoff.KINDS.index("a"))
     got = []
     for parts in (1, 20):
-        counts = cutoff.context_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(parts), "text")
-        got.append({r.key: (r.n, r.ends) for r in cutoff.wanted_counts(counts, keys).collect()})
+        _, counts = cutoff.survey(spark.createDataFrame(texts, "id long, text string, source string").repartition(parts), "id", "text", "source")
+        got.append({r.key: (r.n, r.ends) for r in cutoff.wanted_counts(counts, spark.createDataFrame([(common,)], "key long")).collect()})
     # each rare word is seen once and every second one ends a sentence; "common" is known, however few batches hold it twice
-    assert got[0] == got[1] and got[0]["1 common"] == (20, 0) and got[0]["0 a"][1] == 10 and got[0]["0 a"][0] <= 30
+    assert got[0] == got[1] and got[0][common] == (20, 0) and got[0][latin][1] == 10 and got[0][latin][0] <= 30
 
 
 # ------------------------------------------------------------ near duplicates
