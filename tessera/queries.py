@@ -50,6 +50,7 @@ QUERIES |= {
     "p1_found": lambda s, d: nested.flatten(table(s, d, "raw_record"), "record_id", ("card", "detail"), attributes=False).select("record_id", "node_path", "parent_path"),
     "p1_objects": lambda s, d: nested.flatten(table(s, d, "raw_record"), "record_id", ("card", "detail")),
     "p1_records": lambda s, d: nested.flatten(table(s, d, "raw_record"), "record_id", ("card", "detail"), roots=True).where("parent_path is null"),
+    "p1_section_items": lambda s, d: nested.related_tables(table(s, d, "raw_record"), "record_id", ("card", "detail"))["detail.sections[].widgets[].data.items[]"],
     "p3_found": lambda s, d: impute.matched(table(s, d, "listing"), table(s, d, "unit_ref")).select("listing_id", "field_name"),
     "p3_matched": lambda s, d: impute.matched(table(s, d, "listing"), table(s, d, "unit_ref")),
     "p3_filled": lambda s, d: impute.fill(table(s, d, "listing"), table(s, d, "unit_ref")),
