@@ -31,6 +31,11 @@ def normalize_text(value: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(s, r"(?U)\s+", " ")))
 
 
+def strip(value: Column) -> Column:
+    """A text without white space around it."""
+    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+
+
 def fa_to_en(value: Column) -> Column:
     """digits and the Persian thousands and decimal marks in ASCII."""
     return F.translate(F.coalesce(value.cast("string"), F.lit("")), DIGITS_FROM + "٬٫", DIGITS_TO + ",.")

@@ -116,6 +116,7 @@ class Scalars(NamedTuple):
     position: np.ndarray
     key: pa.Array
     value: pa.Array  # strings without quotes, other values as written, null for null
+    quoted: np.ndarray  # whether it is a string
 
 
 def by_levels(level: np.ndarray) -> list[np.ndarray]:
@@ -237,7 +238,7 @@ def index(texts: pa.StringArray, scalars: bool) -> tuple[Containers, Scalars | N
     null = ~quoted & (data[start] == ord("n")) if len(slot) else np.zeros(0, bool)
     value = pc.if_else(pa.array(null), pa.scalar(None, pa.string()), value)
     at = np.where(named, -1, position_in(container[slot], slot) + (code[slot] == ord(",")))
-    return found, Scalars(container[slot], at, _spread(keys_before(slot[named]), named), value)
+    return found, Scalars(container[slot], at, _spread(keys_before(slot[named]), named), value, quoted)
 
 
 def _spread(values: pa.Array, mask: np.ndarray) -> pa.Array:
