@@ -8,6 +8,7 @@ import json
 import os
 import re
 import zipfile
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -74,6 +75,16 @@ def token_of(url: object) -> str | None:
     return last if re.fullmatch(L.TOKEN_PATTERN.strip("^$"), last) else None
 
 
+def _objects(value) -> Iterator[dict]:
+    """Objects of a small document in order, without recursion."""
+    waiting = [value]
+    while waiting:
+        x = waiting.pop()
+        if isinstance(x, dict):
+            yield x
+        waiting += reversed(list(x.values()) if isinstance(x, dict) else x if isinstance(x, list) else ())
+
+
 def linked_data(document: str) -> dict[str, dict]:
     """JSON-LD objects by token of their address; later ones win, broken scripts are skipped."""
     out = {}
@@ -82,7 +93,7 @@ def linked_data(document: str) -> dict[str, dict]:
             value = json.loads(html.unescape(script))
         except ValueError:
             continue
-        for node in raw.nodes(value):
+        for node in _objects(value):
             if token := token_of(node.get("url")):
                 out[token] = node
     return out
@@ -91,7 +102,7 @@ def linked_data(document: str) -> dict[str, dict]:
 def page_cards(document: str) -> list[dict]:
     """Records of a saved search page, first occurrence of each token."""
     state = preloaded_state(document) or {}
-    widgets = next((n["listWidgets"] for n in raw.nodes(state) if isinstance(n.get("listWidgets"), list)), [])
+    widgets = next((n["listWidgets"] for n in _objects(state) if isinstance(n.get("listWidgets"), list)), [])
     details, out, seen = linked_data(document), [], set()
     for w in widgets:
         data = w

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.plans import listings as P
-from tessera.sources import raw, snapshots
+from tessera.sources import districts, raw, snapshots
 from tessera.streaming.events import landing_zone, windowed
 
 RECORD = {"card": {"token": "abcdef1", "title": "کارت", "district": "نارین", "area_hint": "۸۰", "rooms_hint": 2, "deposit_toman_hint": "۱۰۰ میلیون", "rent_text": "رهن کامل"},
@@ -82,3 +82,22 @@ def test_streams(spark, tmp_path):
     assert sorted(r.token for r in spark.table("landed").collect()) == ["a", "b"]
     events = spark.createDataFrame([(1.0, "x", "2025-01-01 00:00:10"), (2.0, "x", "2025-01-01 00:04:00"), (3.0, "x", "2025-01-01 00:06:00")], "value double, event_type string, t string").select("value", "event_type", F.to_timestamp("t").alias("ts"))
     assert sorted((r.n, r.total) for r in windowed(events, "5 minutes").collect()) == [(1, 3.0), (2, 3.0)]
+
+
+def test_districts():
+    known = [("نارین", 1), ("نارین بالا", 2), ("narin", 1), ("golestan", 3), ("golestane", 4), ("gulistan", 5), ("golestand", 6), ("golistan", 7), ("golestin", 8), ("galestan", 9)]
+    g = districts.Gazetteer(known)
+    assert g.matches("نارین") == [(1, 1.0)] or g.matches("نارین") == [(1, 1.0), (2, 0.92)]
+    assert g.matches("narin") == [(1, 1.0)] and g.matches("zzz") == []
+    near = g.matches("golestxn")  # no good match: a few, best first, ties by id
+    ratio = lambda a, b: __import__("difflib").SequenceMatcher(None, a, b).ratio()
+    want = sorted(((-max(ratio("golestxn", n) for n, i in known if i == d), d) for d in range(3, 10)))
+    want = [(d, -s) for s, d in want if -s >= districts.LEAST]
+    assert near == ([x for x in want if x[1] >= max(0.86, want[0][1] - 0.06)] if want[0][1] >= 0.9 else want[:5])
+
+
+def test_resolved_names(spark):
+    names = spark.createDataFrame([("نارين",), ("نارین",), ("qqqq",), (None,), (" ",)], "neighborhood string")
+    listed = spark.createDataFrame([(1, "نارین", "Narin"), (2, "گلبن", None)], "district_id int, name string, name_en string")
+    got = {tuple(r) for r in districts.resolve(names, "neighborhood", listed).collect()}
+    assert got == {("نارین", 2, 1, 1.0, 1), ("qqqq", 1, None, None, None)}
