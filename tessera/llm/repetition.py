@@ -1,7 +1,8 @@
 """Repetition inside single documents (p10): one projection of built-in expressions, compiled from a threshold table.
 
-The measures are columns over text; the table of rules names a measure, a comparison and a bound. ``profile`` selects all
-measures and the names of the rules a document breaks; ``repeated`` keeps the documents that break the repetition rule.
+The measures are columns over text; the table of rules names a measure, a comparison and a bound, and is compiled into the projection.
+``profile`` selects all measures and the names of the rules a document breaks; ``repeated`` keeps of these the documents that break the
+repetition rule.
 No user function runs and nothing is shuffled, so the cost is one scan.
 
 A run of five words counts as repeated if the same five words already stood at an earlier position of the document; its
@@ -119,7 +120,7 @@ def profile(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
 
 
 def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(id) of the documents that break a rule on repeated runs; only what that rule measures is computed."""
-    kept = tuple(r for r in rules if r.measure == "repeated_share")
-    judged = profile(df, id_col, text_col, kept, ("repeated_share",))
-    return judged.filter(F.size("broken_rules") > 0).select(id_col)
+    """(id) of the documents that break a rule on repeated runs, out of the projection of the whole table of rules."""
+    names = [F.lit(r.name) for r in rules if r.measure == "repeated_share"]
+    judged = profile(df, id_col, text_col, rules)
+    return judged.filter(F.arrays_overlap("broken_rules", F.array(*names))).select(id_col)
