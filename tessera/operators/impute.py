@@ -8,7 +8,7 @@ Groups may hold any share of the rows: their statistics are sums combined before
 parts of bounded size, cut by prediction. The nearest donors of the other parts are carried across their borders, so that every cell
 gets the nearest donor of its whole group. All records are donors.
 
-Real values are positive and finite, no stand-ins, and years lie in YEARS; 0 rooms is real. A field nobody reports stays
+Real values are positive and finite, areas aren't numbers of nines only (stand-ins for unknown), and years lie in YEARS; 0 rooms is real. A field nobody reports stays
 unfilled (null value and donor) but its cells are still listed. Equally near donors: the smaller id wins. Repeated ids fill alike.
 """
 
@@ -24,9 +24,9 @@ from tessera.operators.units import conversion_table, source_units
 from tessera.session import cut_lineage, small_or_shuffled
 
 FIELDS = ("area_m2", "rooms", "year_built_shamsi")
-# Stand-ins and bounds of real values.
-STAND_INS = {"area_m2": (9999.0,), "rooms": (99.0,), "year_built_shamsi": (1111.0, 9999.0)}
+# Bounds of real values, and digits from which a number of nines only is a stand-in.
 YEARS = (1200, 1450)
+LEAST_NINES = 4
 MOST_ROOMS = 60
 #: Other fields that the prediction of a field uses.
 PREDICTORS = {"area_m2": ("rooms", "price"), "rooms": ("area_m2", "price"), "year_built_shamsi": ("price", "area_m2")}
@@ -45,24 +45,25 @@ def real_value(field: str, value: Column) -> Column:
     """The value of a field where it can be real, else null."""
     v = value.cast("double")
     if field == "area_m2":
-        ok = v > 0
+        ok = (v > 0) & ~(v + 1).isin([10.0**k for k in range(LEAST_NINES, 16)])
     elif field == "rooms":
         ok = (v >= 0) & (v <= MOST_ROOMS)
     else:
         ok = v.between(*YEARS)
-    return F.when(~F.isnan(v) & ok & ~v.isin([*STAND_INS[field], float("inf")]), v)
+    return F.when(~F.isnan(v) & (F.abs(v) < 1e18) & ok, v)
 
 
 def _base(listings: DataFrame, unit_ref: DataFrame, id_col: str) -> DataFrame:
     """Fields and predictors of each record in common units, its groups, and the stored fields."""
     edges = conversion_table(listings.sparkSession, unit_ref)
-    scale = F.create_map(*[F.lit(x) for e in edges for x in (e.source, e.scale)])
+    scale = F.create_map(*[F.lit(x) for e in edges for x in (e.source, F.struct(F.lit(e.scale).alias("scale"), F.lit(e.offset).alias("offset")))])
     kept = {"_building": F.col("building_code"), "_near": plain_text(F.col("neighborhood"))} | {f"_raw_{f}": F.col(f).cast("double") for f in FIELDS}
     cells = source_units(listings, edges, id_col, kept)
 
     def common(i: int) -> Column:
         cell = F.get("cells", F.lit(i))
-        return cell["value"] * F.try_element_at(scale, cell["unit"])
+        way = F.try_element_at(scale, cell["unit"])
+        return cell["value"] * way["scale"] + way["offset"]
 
     area = F.when(real_value("area_m2", F.col("_raw_area_m2")).isNotNull(), common(2))
     paid = F.coalesce(common(0), F.lit(0.0)) + 30 * F.coalesce(common(1), F.lit(0.0))
@@ -173,7 +174,11 @@ def _neighbours(rows: DataFrame) -> DataFrame:
 
 def matched(listings: DataFrame, unit_ref: DataFrame, id_col: str = "listing_id") -> DataFrame:
     """(id, field_name, stored, filled_value, donor_id, donor_group, filled) of every cell that holds no real value."""
-    predicted = predictions(cut_lineage(_base(listings, unit_ref, id_col)))
+    return _matched(cut_lineage(_base(listings, unit_ref, id_col)), id_col)
+
+
+def _matched(base: DataFrame, id_col: str) -> DataFrame:
+    predicted = predictions(base)
     cells = F.explode(F.array(*[
         F.struct(
             F.lit(f).alias("field"), F.col(f"_raw_{f}").alias("stored"), F.col(f"p_{f}").alias("p"), (F.col("_area") if f == "area_m2" else F.col(f)).alias("value"),
@@ -199,11 +204,13 @@ def matched(listings: DataFrame, unit_ref: DataFrame, id_col: str = "listing_id"
 
 
 def fill(listings: DataFrame, unit_ref: DataFrame, id_col: str = "listing_id") -> DataFrame:
-    """The records' id and fields with gaps filled, <field>_filled flags and donor ids; area in square metres where it was filled."""
-    found = matched(listings, unit_ref, id_col)
+    """The records' id and fields with gaps filled, <field>_filled flags and donor ids; every area in square metres, observed or filled."""
+    base = cut_lineage(_base(listings, unit_ref, id_col))
+    found = _matched(base, id_col)
     wide = found.groupBy(id_col).agg(*[F.max(F.when(F.col("field_name") == f, F.struct("filled_value", "donor_id"))).alias(f"_{f}") for f in FIELDS])
-    joined = listings.select(id_col, *FIELDS).join(wide, id_col, "left")
+    observed = base.select(F.col("id").alias(id_col), F.col("_area").alias("area_m2"), *FIELDS[1:])
+    joined = observed.join(wide, id_col, "left")
     out = [F.col(id_col)]
     for f in FIELDS:
-        out += [F.coalesce(real_value(f, F.col(f)), F.col(f"_{f}.filled_value")).alias(f), F.col(f"_{f}").isNotNull().alias(f"{f}_filled"), F.col(f"_{f}.donor_id").alias(f"{f}_donor")]
+        out += [F.coalesce(f, f"_{f}.filled_value").alias(f), F.col(f"_{f}").isNotNull().alias(f"{f}_filled"), F.col(f"_{f}.donor_id").alias(f"{f}_donor")]
     return joined.select(*out)

@@ -110,3 +110,9 @@ def test_filling_without_donors(spark, unit_ref):
     out = impute.matched(rows(spark, {"rooms": None, "year_built_shamsi": None}, {"rooms": None, "neighborhood": None}), unit_ref).collect()
     assert len(out) == 5 and {r.field_name for r in out if not r.filled} == {"area_m2", "rooms"}
     assert impute.matched(rows(spark, {}).limit(0), unit_ref).count() == 0
+
+
+def test_filled_tables_have_one_unit(spark, unit_ref):
+    made = [{"listing_id": i, "neighborhood": "n", "area_m2": a, "area_unit": u, "rooms": 2.0, "year_built_shamsi": 1390.0} for i, (a, u) in enumerate([(1076.391, "sqft"), (100.0, "m2"), (1.0, "are"), (None, None), (9999.0, None), (99999.0, None)])]
+    got = {r.listing_id: r for r in impute.fill(rows(spark, *made), unit_ref).collect()}
+    assert all(r.area_m2 == pytest.approx(100.0, rel=1e-4) for r in got.values()) and [i for i, r in sorted(got.items()) if r.area_m2_filled] == [3, 4, 5]
