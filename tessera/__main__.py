@@ -49,7 +49,7 @@ def main(argv: list[str] | None = None) -> None:
         elif args.command == "evaluate":
             result = calibrate.summary(calibrate.case_metrics(rows, "listing_id"), table.select("listing_id", F.col("decision_abstain").alias("abstain"))).first().asDict()
         else:
-            options = [r.option for r in rows.select("option_idx", "option").distinct().orderBy("option_idx").limit(27).collect()]
+            options = [r.option for r in rows.select("option_idx", "option").distinct().orderBy("option_idx").collect()]  # a question's options
             gold = calibrate.soft_targets(table.withColumn("label", L.label_choice(F.col(OPTIONS[args.question][0]))), options, "label", "human_label_confidence").where("gold is not null")
             snapshots.write_jsonl(gold.select("listing_id", "label", "gold"), args.output)
             return

@@ -14,9 +14,12 @@ def keep_last(df: DataFrame, keys: list[Column], order: list[str]) -> DataFrame:
     return last.select(*[F.col(f"r.{c}").alias(c) for c in df.columns])
 
 
-def snapshot_key(token: Column, url: Column) -> Column:
-    """The token, else the address."""
-    return F.coalesce(F.nullif(F.trim(token), F.lit("")), F.nullif(F.trim(url), F.lit("")), F.lit(""))
+def snapshot_key(df: DataFrame, candidates: tuple[str, ...] = ("token", "url")) -> list[Column]:
+    """The key of a whole snapshot, the first candidate that any row has, else all columns; rows without it collapse into one."""
+    for c in candidates:
+        if c in df.columns and not df.where(F.length(c) > 0).limit(1).isEmpty():
+            return [F.coalesce(F.col(c), F.lit(""))]
+    return [F.col(c) for c in df.columns]
 
 
 def difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

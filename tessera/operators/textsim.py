@@ -1,10 +1,23 @@
-"""Term weights and sparse similarity (L4, L5 of the survey)."""
+"""Term weights and sparse similarity (L4-L6 of the survey)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import cut_lineage, small_or_shuffled
+
+# Lengths of character n-grams, terms of the vocabulary, similarity of an edge.
+LOW, HIGH, MOST_TERMS, ALIKE = 3, 5, 12_000, 0.88
+#: Bands of minima of two-word sequences; texts of one band that are more than so many are compared with REPRESENTATIVES of it.
+BANDS, ROWS, WIDTH = 24, 3, 2
+BAND_TEXTS, REPRESENTATIVES = 64, 4
+MEMO = 200_000
+
 
 def char_ngrams(df: DataFrame, id_col: str, text_col: str, low: int = 3, high: int = 5) -> DataFrame:
     """(id, term): character n-grams of words padded by a space, as many times as they occur; a padded word shorter than n gives itself once."""
@@ -42,3 +55,132 @@ def similar(weights: DataFrame, id_col: str, queries: DataFrame, k: int) -> Data
     dots = left.join(right, "term").where("a <> b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc(F.round("similarity", 9)), "b"))
     return dots.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("a").alias(id_col), F.col("b").alias("neighbour"), "similarity", "rank")
+
+
+def word_grams(word: str, low: int = LOW, high: int = HIGH) -> list[str]:
+    """n-grams of one padded word; a padded word no longer than n gives itself once."""
+    padded = f" {word} "
+    return [padded[i : i + n] for n in range(low, high + 1) if n <= len(padded) or n == low for i in range(max(1, len(padded) - n + 1))]
+
+
+class Grams:
+    """Numbers of n-grams, and of each word's n-grams, as they are met."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.words: dict[str, np.ndarray] = {}
+
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct n-grams of a text, how often each occurs)."""
+        found = []
+        for word in text.lower().split():
+            if word not in self.words:
+                self.words[word] = np.array([self.numbers.setdefault(g, len(self.numbers)) for g in word_grams(word)], dtype=np.int64)
+            found.append(self.words[word])
+        return np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def vocabulary(texts: DataFrame, text_col: str, most: int = MOST_TERMS) -> tuple[dict[str, float], int]:
+    """({n-gram: inverse document frequency} of the ``most`` frequent n-grams of the corpus, number of texts); ties go to the smaller n-gram.
+
+    n-grams are counted word by word inside a batch and summed before the shuffle: no text is exploded into its n-grams.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, found = Grams(), []
+            for text in batch.column(0).to_pylist():
+                found.append(grams.of(text or ""))
+            total, docs = np.zeros(len(grams.numbers), np.int64), np.zeros(len(grams.numbers), np.int64)
+            for at, n in found:
+                total[at] += n
+                docs[at] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([*grams.numbers], pa.string()), pa.array(total), pa.array(docs)], names=["term", "total", "docs"])
+
+    counted = texts.select(F.col(text_col).cast("string")).mapInArrow(run, "term string, total long, docs long").groupBy("term").agg(F.sum("total").alias("total"), F.sum("docs").alias("docs"))
+    kept = counted.orderBy(F.desc("total"), "term").limit(most).collect()  # the size of the vocabulary is its parameter
+    n = texts.count()
+    return {r.term: float(np.log((1.0 + n) / (1 + r.docs)) + 1) for r in kept}, n
+
+
+def weighted(df: DataFrame, id_col: str, text_col: str, terms: dict[str, float]) -> DataFrame:
+    """(id, terms ARRAY<INT>, weights ARRAY<DOUBLE>): 1 + ln tf times inverse document frequency, scaled to length 1; terms in ascending order."""
+    number, idf = {t: i for i, t in enumerate(terms)}, np.array([*terms.values(), 0.0])
+    shared = df.sparkSession.sparkContext.broadcast((number, idf))  # as many entries as the vocabulary has
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, idf = shared.value
+        grams, known = Grams(), np.zeros(0, np.int64)
+        for batch in batches:
+            if len(grams.words) > MEMO:
+                grams, known = Grams(), np.zeros(0, np.int64)
+            at, weights = [], []
+            for text in batch.column(1).to_pylist():
+                found, n = grams.of(text or "")
+                if len(known) < len(grams.numbers):
+                    known = np.concatenate([known, [number.get(g, -1) for g in list(grams.numbers)[len(known) :]]]).astype(np.int64)
+                term = known[found]
+                term, n = term[term >= 0], n[term >= 0]
+                order = np.argsort(term)
+                w = (1 + np.log(n[order])) * idf[term[order]]
+                at.append(term[order].astype(np.int32))
+                weights.append(w / max(float(np.sqrt((w * w).sum())), 1e-12))
+            ends = np.cumsum([0, *map(len, at)]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x) if ends[-1] else np.zeros(0, t), k)) for x, t, k in ((at, np.int32, pa.int32()), (weights, np.float64, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["id", "terms", "weights"])
+
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {dict(df.dtypes)[id_col]}, terms array<int>, weights array<double>")
+
+
+def _bands(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, band) of every text: minima of its word sequences under fixed pseudo-random orders; texts of fewer words band by themselves."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = np.random.default_rng(29).integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        for batch in batches:
+            keys = []
+            for text in batch.column(1).to_pylist():
+                words = (text or "").lower().split()
+                runs = np.array([hash_of(" ".join(words[i : i + WIDTH])) for i in range(max(1, len(words) - WIDTH + 1))], dtype=np.uint64)
+                mixed = runs[None, :] * seeds[:, None]
+                low = (mixed ^ (mixed >> np.uint64(31))).min(axis=1).reshape(BANDS, ROWS)
+                keys.append((low[:, 0] * seeds[:BANDS] ^ (low[:, 1] * np.uint64(0x9E3779B97F4A7C15)) ^ (low[:, 2] * np.uint64(0xC2B2AE3D27D4EB4F))) + np.arange(BANDS, dtype=np.uint64))
+            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS))), pa.array(flat)], names=["id", "band"])
+
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {dict(df.dtypes)[id_col]}, band long")
+
+
+def hash_of(text: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(text)
+
+
+def alike_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = ALIKE, most: int = MOST_TERMS) -> DataFrame:
+    """(a, b, similarity) of differing texts, a < b, whose n-gram vectors have at least a cosine of ``threshold``.
+
+    ``df`` has one row for each differing text. Texts meet in min-hash bands; every pair of a band is verified exactly on the vectors. In a
+    band of very many texts each is compared with a few representatives, which keeps its connected group together without all pairs.
+    """
+    met = cut_lineage(_bands(df, id_col, text_col).withColumn("n", F.count("*").over(Window.partitionBy("band"))).where("n > 1"))
+    few, many = met.where(F.col("n") <= BAND_TEXTS), met.where(F.col("n") > BAND_TEXTS)
+    pairs = few.select(F.col("id").alias("a"), "band").join(few.select(F.col("id").alias("b"), "band"), "band").where("a < b").select("a", "b")
+    heads = many.groupBy("band").agg(F.array_distinct(F.array(*[F.min_by("id", F.xxhash64("id", F.lit(i))) for i in range(REPRESENTATIVES)])).alias("heads"))
+    star = many.join(heads, "band").select(F.col("id").alias("x"), F.explode("heads").alias("y")).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    found = cut_lineage(pairs.union(star).distinct())
+    asked = small_or_shuffled(cut_lineage(found.select(F.explode(F.array("a", "b")).alias(id_col)).distinct()))
+    terms, _ = vocabulary(df, text_col, most)
+    vectors = cut_lineage(weighted(df.join(asked, id_col, "left_semi"), id_col, text_col, terms))
+
+    def cosine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            ta, wa, tb, wb = (batch.column(i) for i in (2, 3, 4, 5))
+            for i in range(batch.num_rows):
+                _, x, y = np.intersect1d(ta[i].values.to_numpy(), tb[i].values.to_numpy(), assume_unique=True, return_indices=True)
+                out.append(float(wa[i].values.to_numpy()[x] @ wb[i].values.to_numpy()[y]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
+
+    side = lambda k: vectors.select(F.col("id").alias(k), F.col("terms").alias(f"t{k}"), F.col("weights").alias(f"w{k}"))
+    kind = dict(df.dtypes)[id_col]
+    joined = found.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "wa", "tb", "wb")
+    return joined.mapInArrow(cosine, f"a {kind}, b {kind}, similarity double").where(F.col("similarity") >= threshold)

@@ -92,24 +92,39 @@ def market(df: DataFrame, min_count: int = 8, clip: float = 8.0) -> DataFrame:
     return out.withColumn("robust_market_anomaly", L.clip(score))
 
 
+def text_links(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, classes) by text: edges (src, dst) from every copy to its class and between alike classes; classes (listing_id, rep, similarity),
+    the similarity of the nearest other listing, where one is alike."""
+    from tessera.operators.textsim import alike_pairs
+
+    said = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")))
+    texts = df.select("listing_id", said.alias("text")).where(F.trim("text") != "")
+    keyed = texts.select("listing_id", F.xxhash64("text").alias("k"), F.xxhash64(F.reverse("text")).alias("k2"))
+    reps = keyed.groupBy("k", "k2").agg(F.min("listing_id").alias("rep"), F.count("*").alias("copies"))
+    classes = cut_lineage(keyed.join(reps, ["k", "k2"]).select("listing_id", "rep", "copies"))
+    differing = cut_lineage(texts.join(classes.where("listing_id = rep").select("listing_id"), "listing_id", "left_semi"))
+    pairs = cut_lineage(alike_pairs(differing, "listing_id", "text"))
+    nearest = pairs.select(F.explode(F.array("a", "b")).alias("rep"), "similarity").groupBy("rep").agg(F.max("similarity").alias("near"))
+    similarity = F.when(F.col("copies") > 1, 1.0).otherwise(F.col("near"))
+    edges = classes.where("listing_id != rep").select(F.col("listing_id").alias("src"), F.col("rep").alias("dst")).unionByName(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return edges, classes.join(nearest, "rep", "left").select("listing_id", "rep", similarity.alias("similarity")).where("similarity is not null")
+
+
 def duplicates(df: DataFrame) -> DataFrame:
-    """L6, A7, M8, F22 on exact evidence: clusters of listings that share a token or a description, with size, spread and score."""
+    """(id, cluster, its size, neighbourhoods, price span and score, duplicate_similarity) of listings with a text alike to another's."""
     from tessera.operators.graph import components
 
-    linked = None
-    for key in ("token", "description"):
-        rows = df.where(F.length(key) > 0).select("listing_id", F.col(key).alias("k"))
-        edges = rows.join(rows.groupBy("k").agg(F.min("listing_id").alias("dst"), F.count("*").alias("n")).where("n > 1"), "k").select(F.col("listing_id").alias("src"), "dst")
-        linked = edges if linked is None else linked.unionByName(edges)
-    groups = components(linked)
+    edges, near = text_links(df)
+    groups = cut_lineage(components(edges))
     members = groups.join(df.select(F.col("listing_id").alias("id"), "neighborhood", "equivalent_deposit_30_toman"), "id")
     price = F.col("equivalent_deposit_30_toman")
     stats_ = members.groupBy("component").agg(
         F.count("*").alias("duplicate_cluster_size"), F.greatest(F.countDistinct(F.nullif(F.trim("neighborhood"), F.lit(""))), F.lit(1)).alias("duplicate_cluster_neighborhoods"),
-        F.when((F.count(price) >= 2) & (F.min(price) > 0), F.ln(F.max(price)) - F.ln(F.min(price))).otherwise(0.0).alias("_span"),
+        F.when((F.count(price) >= 2) & (F.min(price) > 0), F.log1p(F.max(price)) - F.log1p(F.min(price))).otherwise(0.0).alias("_span"),
     ).withColumn("duplicate_cluster_price_span", L.clip(F.col("_span") / 0.9162907318741551))  # ln 2.5
     bait = 0.45 * L.clip((F.col("duplicate_cluster_size") - 1) / 4) + 0.30 * F.col("duplicate_cluster_price_span") + 0.25 * L.clip((F.col("duplicate_cluster_neighborhoods") - 1) / 2)
-    return groups.join(stats_.withColumn("duplicate_bait_score", F.when(F.col("duplicate_cluster_size") > 1, bait).otherwise(0.0)).drop("_span"), "component").withColumnRenamed("component", "duplicate_cluster_id")
+    scored_ = groups.join(stats_.withColumn("duplicate_bait_score", bait).drop("_span"), "component").withColumnRenamed("component", "duplicate_cluster_id")
+    return scored_.join(near.select(F.col("listing_id").alias("id"), F.col("similarity").alias("duplicate_similarity")), "id", "left")
 
 
 def channels(df: DataFrame, trust: str = "bootstrap") -> DataFrame:
@@ -141,27 +156,75 @@ def channels(df: DataFrame, trust: str = "bootstrap") -> DataFrame:
     priority = 0.52 * F.get(ordered, F.lit(0)) + 0.20 * F.get(ordered, F.lit(1)) + 0.16 * F.col("uncertainty_score") + 0.12 * number("decision_manual_review_probability") + 0.08 * abstain
     out = out.withColumn("review_priority_score", L.clip(priority))
     band = F.when(F.col("review_priority_score") >= 0.75, "high").when(F.col("review_priority_score") >= 0.55, "review").otherwise("normal")
-    return out.withColumn("risk_band", band).withColumn("flag_reasons", reasons())
-
+    out = out.withColumn("risk_band", band)
+    return out.withColumn("flag_reasons", reasons(out.columns))
 
-def reasons() -> Column:
-    """phrases of the signals that stand out, in order, '; '-joined."""
-    said = [("data_problem_score", 0.55, "data quality problem"), ("market_outlier_score", 0.55, "market outlier"), ("misleading_risk_score", 0.50, "misleading risk"),
-            ("duplicate_risk", 0.50, "duplicate evidence"), ("uncertainty_score", 0.68, "uncertain evidence")]
-    joined = F.concat_ws("; ", *[F.when(F.col(c) >= t, p) for c, t, p in said])
-    return F.coalesce(F.nullif(joined, F.lit("")), F.lit("no strong signal"))
 
-
-def scored(df: DataFrame) -> DataFrame:
-    """Listings with features, market score, duplicate clusters and channels, without a model."""
-    base = market(cut_lineage(features(clean(df)).drop("title", "description", "url", "structured_fields_json")))
-    base = base.join(df.select("listing_id", "description"), "listing_id")
-    with_groups = base.join(duplicates(base).withColumnRenamed("id", "listing_id"), "listing_id", "left")
-    return channels(with_groups.withColumn("market_anomaly_score", F.col("robust_market_anomaly")))
+def reasons(columns: list[str]) -> Column:
+    """phrases of the signals that stand out, in order, once each, '; '-joined. Columns that aren't there say nothing."""
+    def number(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("double"), F.lit(0.0)) if name in columns else F.lit(0.0)
+
+    def told(name: str) -> Column:
+        return F.col(name).cast("string") if name in columns else F.lit(None).cast("string")
+
+    def said(text: str, value: Column) -> Column:
+        return F.concat(F.lit(text), F.call_function("format_number", value, F.lit("0.00")))
+
+    # Phrases and bounds.
+    ratio = F.col("price_model_ratio") if "price_model_ratio" in columns else F.lit(None).cast("double")
+    market_ = said("market outlier=", number("market_outlier_score"))
+    evaluated = F.coalesce(F.col("decision_evaluated"), F.lit(False)) if "decision_evaluated" in columns else F.lit(False)
+    abstain = F.coalesce(F.col("decision_abstain"), F.lit(False)) if "decision_abstain" in columns else F.lit(False)
+    disposition = F.nullif(told("decision_disposition"), F.lit(""))
+    confidence = number("decision_effective_confidence")
+    phrases = [
+        F.when(number("data_problem_score") >= 0.55, said("data-quality risk=", number("data_problem_score"))),
+        F.when(number("market_outlier_score") >= 0.55, F.when(ratio.isNotNull() & ~F.isnan(ratio), F.concat(market_, said(" (actual/expected=", ratio), F.lit(")"))).otherwise(market_)),
+        F.when(number("misleading_risk_score") >= 0.50, said("misleading/bait evidence=", number("misleading_risk_score"))),
+        F.when(number("duplicate_bait_score") >= 0.50, F.concat(F.lit("duplicate-cluster inconsistency (n="), number("duplicate_cluster_size").cast("int").cast("string"), F.lit(")"))),
+        F.when(evaluated & ~disposition.isin("plausible", "market_outlier"), F.concat(F.lit("decision:"), disposition)),
+        F.when(evaluated & abstain, F.concat(F.lit("System-One abstained:"), F.coalesce(F.nullif(told("decision_abstain_reasons"), F.lit("")), F.lit("low decision reliability")))).when(evaluated & (confidence < 0.68), said("decision confidence=", confidence)),
+        F.when(number("uncertainty_score") >= 0.40, F.lit("evidence families disagree / need human review")),
+    ]
+    return F.coalesce(F.nullif(F.array_join(F.array_distinct(F.array_compact(F.array(*phrases))), "; "), F.lit("")), F.lit("low review priority"))
+
+
+def isolation(df: DataFrame) -> DataFrame:
+    """L1: (listing_id, isolation_anomaly_score), rescaled between its 5 % and 95 % quantiles; 0 below 12 rows."""
+    from tessera.operators.vectors import isolation_forest
+
+    wanted = ["area_m2", "rooms", "year_built_shamsi", "_price", "contract_rent_share", "description_len"]
+    price = F.log1p(F.greatest(F.col("equivalent_deposit_30_per_m2"), F.lit(0.0)))
+    raw = cut_lineage(isolation_forest(df.withColumn("_price", price), "listing_id", wanted))
+    scaled = stats.quantile_rescale(raw, "isolation_score", "isolation_anomaly_score").select("listing_id", "isolation_anomaly_score")
+    return scaled if raw.count() >= 12 else raw.select("listing_id", F.lit(0.0).alias("isolation_anomaly_score"))
+
+
+def fused_market(columns: list[str]) -> Column:
+    """M6, M7: the market score of all detectors whose columns are there; with none but the isolation score it is the early score."""
+    # Weights.
+    late, early = {"robust_market_anomaly": 0.36, "isolation_anomaly_score": 0.22, "price_model_anomaly_score": 0.30, "lof_anomaly_score": 0.12}, {"robust_market_anomaly": 0.72, "isolation_anomaly_score": 0.28}
+    weights = late if {"price_model_anomaly_score", "lof_anomaly_score"} & {*columns} else early
+    return L.clip(sum((w * F.coalesce(F.col(c), F.lit(0.0)) for c, w in weights.items() if c in columns), F.lit(0.0)))
+
+
+def scored(df: DataFrame, detectors: DataFrame | None = None) -> DataFrame:
+    """Listings with features, market score, duplicate clusters and channels, without a model of decisions.
+
+    ``detectors`` may bring (listing_id, price_model_anomaly_score, price_model_ratio, lof_anomaly_score) for the fused market score.
+    """
+    whole = cut_lineage(features(clean(df)))
+    base = market(whole.drop("title", "description", "url", "structured_fields_json")).join(isolation(whole), "listing_id", "left")
+    if detectors is not None:
+        base = base.join(detectors, "listing_id", "left")
+    with_groups = base.join(duplicates(whole).withColumnRenamed("id", "listing_id"), "listing_id", "left")
+    ready = with_groups.withColumn("market_anomaly_score", fused_market(with_groups.columns))
+    return channels(ready).join(df.select("listing_id", "title", "description"), "listing_id")
 
 
 def review_queue(df: DataFrame, bands: tuple[str, ...] = ("review", "high")) -> DataFrame:
     """K3, O1: rows of the bands, most urgent first, with blank label columns."""
     labels = ["disposition", "integrity_class", "duplicate_pattern", "market_status", "bait", "data_error", "manual_review", "consistency_level", "label_confidence", "notes"]
     queue = df.where(F.col("risk_band").isin(*bands)).withColumns({f"human_{x}": F.lit("") for x in labels})
-    return queue.orderBy(F.desc("review_priority_score"), F.desc("misleading_risk_score"), F.desc("data_problem_score"), "listing_id")
+    return queue.orderBy(F.desc("review_priority_score"), F.desc("misleading_risk_score"), F.desc("market_outlier_score"), "listing_id")

@@ -109,10 +109,10 @@ def q06(s, d):
 
 
 @query("q07_dedupe_keep_last", """SELECT listing_id, token FROM (SELECT listing_id, token, row_number() OVER (
- PARTITION BY coalesce(nullif(trim(token), ''), nullif(trim(url), ''), '') ORDER BY crawled_at DESC NULLS LAST, listing_id DESC) AS rn FROM listing) WHERE rn = 1""")
+ PARTITION BY coalesce(token, '') ORDER BY crawled_at DESC NULLS LAST, listing_id DESC) AS rn FROM listing) WHERE rn = 1""")
 def q07(s, d):
     t = table(s, d, "listing").select("listing_id", "token", "url", "crawled_at")
-    return relational.keep_last(t, [relational.snapshot_key(F.col("token"), F.col("url"))], ["crawled_at", "listing_id"]).select("listing_id", "token")
+    return relational.keep_last(t, relational.snapshot_key(t), ["crawled_at", "listing_id"]).select("listing_id", "token")
 
 
 @query("q08_union_distinct", """SELECT source, crawl_transport FROM crawl_source UNION SELECT source, 'listing' FROM listing WHERE source IS NOT NULL UNION SELECT source, 'documents' FROM documents WHERE source IS NOT NULL""")
@@ -245,13 +245,18 @@ def q28(s, d):
     return vectors.local_outlier_factor(t, "vec_id", "embedding", vectors.lof_neighbours(t.count()))
 
 
-@query("q30_char_ngrams", """WITH w AS (SELECT DISTINCT unnest(string_split(lower(title), ' ')) AS w FROM listing WHERE title IS NOT NULL), p AS (SELECT ' ' || w || ' ' AS p FROM w WHERE w <> ''),
-g AS (SELECT substr(p, i, 3) AS gram FROM p, LATERAL (SELECT unnest(range(1, length(p) - 1)) AS i)) SELECT gram, count(*) AS n FROM g GROUP BY gram""")
+@query("q30_char_ngrams", r"""WITH w AS (SELECT ' ' || unnest(regexp_extract_all(lower(title), '\S+')) || ' ' AS p FROM listing WHERE title IS NOT NULL), n AS (SELECT unnest([3, 4, 5]) AS n),
+g AS (SELECT substr(p, i, n) AS gram FROM (SELECT p, n, unnest(range(1, greatest(length(p) - n, 0) + 2)) AS i FROM w, n WHERE length(p) >= n OR n = 3)) SELECT gram, count(*) AS n FROM g GROUP BY gram""")
 def q30(s, d):
-    w = table(s, d, "listing").select(F.explode(F.split(F.lower("title"), " ")).alias("w")).where("w <> ''").distinct()
-    p = w.select(F.concat(F.lit(" "), "w", F.lit(" ")).alias("p"))
-    g = p.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("p") - 2), lambda i: F.substr("p", i, F.lit(3)))).alias("gram"))
-    return g.groupBy("gram").agg(F.count("*").alias("n"))
+    from tessera.operators.textsim import char_ngrams
+
+    return char_ngrams(table(s, d, "listing"), "listing_id", "title").groupBy(F.col("term").alias("gram")).agg(F.count("*").alias("n"))
+
+
+@query("q35_alike_texts")
+def q35(s, d):
+    edges, _ = P.text_links(table(s, d, "listing"))
+    return edges
 
 
 _TFIDF_SQL = r"""WITH t AS (SELECT listing_id, unnest(regexp_extract_all(lower(title), '[\p{L}\p{N}]+')) AS term FROM listing WHERE title IS NOT NULL),

@@ -211,7 +211,7 @@ def load_snapshot(spark: SparkSession, path: str, redact: bool = True) -> DataFr
     for c in ("token", "url"):
         if c not in out.columns:
             out = out.withColumn(c, F.lit(None).cast("string"))
-    return keep_last(out, [snapshot_key(F.col("token"), F.col("url"))], ["_file", "_line"]).drop("_file", "_line")
+    return keep_last(out, snapshot_key(out.drop("_file", "_line")), ["_file", "_line"]).drop("_file", "_line")
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

@@ -13,6 +13,7 @@ from tessera.functions import listing as L
 from tessera.functions.chars import plain_text
 from tessera.operators import calibrate, decisions, relational, stats, textsim, vectors
 from tessera.operators.graph import components
+from tessera.plans import listings as P
 
 
 def one(spark, column, **values):
@@ -163,3 +164,56 @@ def test_fixed_work_of_models():
     assert (given["iterations"], given["step"], given["folds"]) == (220, 0.055, None) and [price_model.fold_count(n) for n in (40, 79, 80, 30_000)] == [3, 3, 4, 5]
     assert inspect.signature(vectors.isolation_forest).parameters["trees"].default == 300 and "trees=" not in inspect.getsource(queries.q27)
     assert [vectors.lof_neighbours(n) for n in (5, 60, 120, 300, 10_000)] == [4, 8, 10, 25, 25]
+
+
+def test_alike_texts_like_brute_force(spark, monkeypatch):
+    rng = random.Random(11)
+    words = ["".join(rng.choice(["kha", "sar", "bagh", "por", "mi", "dar", "istan", "gah", "van", "zar", "lu", "pen"]) for _ in range(3)) for _ in range(500)]
+    texts = []
+    for i in range(40):
+        base = [rng.choice(words) for _ in range(40)]
+        texts.append(" ".join(base))
+        for _ in range(rng.randrange(3)):
+            edited = list(base)
+            for _ in range(rng.randrange(1, 6)):
+                edited[rng.randrange(40)] = rng.choice(words)
+            texts.append(" ".join(edited))
+    texts = sorted({*texts, "", "a", "a b"})
+    df = spark.createDataFrame([*enumerate(texts)], "listing_id long, text string").withColumn("terms", F.lit(1))
+    terms, n = textsim.vocabulary(df, "text", 300)
+    counts = [{} for _ in texts]
+    for c, t in zip(counts, texts):
+        for w in t.lower().split():
+            for g in textsim.word_grams(w):
+                c[g] = c.get(g, 0) + 1
+    total = {g: sum(c.get(g, 0) for c in counts) for g in {g for c in counts for g in c}}
+    kept = sorted(total, key=lambda g: (-total[g], g))[:300]
+    assert n == len(texts) and terms == pytest.approx({g: math.log((1 + n) / (1 + sum(g in c for c in counts))) + 1 for g in kept})
+    vectors_ = []
+    for c in counts:
+        v = {g: (1 + math.log(k)) * terms[g] for g, k in c.items() if g in terms}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        vectors_.append({g: x / norm for g, x in v.items()})
+    want = {(a, b): sum(x * vectors_[b].get(g, 0) for g, x in vectors_[a].items()) for a, b in itertools.combinations(range(len(texts)), 2)}
+    want = {k: v for k, v in want.items() if v >= 0.88}
+    got = {(r.a, r.b): r.similarity for r in textsim.alike_pairs(df, "listing_id", "text", most=300).collect()}
+    assert len(want) > 10 and got.keys() <= want.keys() and len(got) >= 0.95 * len(want) and all(got[k] == pytest.approx(want[k]) for k in got)
+    monkeypatch.setattr(textsim, "BAND_TEXTS", 2)  # crowded bands keep groups together
+    group = lambda pairs: {r.id: r.component for r in components(spark.createDataFrame([*pairs] or [(0, 0)], "src long, dst long")).collect()}
+    crowded = group({(r.a, r.b) for r in textsim.alike_pairs(df, "listing_id", "text", most=300).collect()})
+    assert sum(crowded.get(i) == c for i, c in group(got).items()) >= 0.9 * len(group(got))
+    assert textsim.alike_pairs(df.limit(0), "listing_id", "text").count() == 0 and textsim.word_grams("a") == [" a "] and len(textsim.word_grams("abc")) == 3 + 2 + 1
+
+
+def test_reasons_and_keys(spark):
+    row = spark.createDataFrame([(0.6, 0.7, 1.5, 0.1, 0.55, 3, 0.41, True, "reject", False, 0.5), (0.0, 0.9, float("nan"), 0.0, 0.0, 0, 0.0, True, "plausible", True, 0.9), (0.0,) * 2 + (None, 0.0, 0.0, 0, 0.0, None, None, None, None)],
+        "data_problem_score double, market_outlier_score double, price_model_ratio double, misleading_risk_score double, duplicate_bait_score double, duplicate_cluster_size int, uncertainty_score double, decision_evaluated boolean, decision_disposition string, decision_abstain boolean, decision_effective_confidence double")
+    got = [r.x for r in row.select(P.reasons(row.columns).alias("x")).collect()]
+    assert got == [
+        "data-quality risk=0.60; market outlier=0.70 (actual/expected=1.50); duplicate-cluster inconsistency (n=3); decision:reject; decision confidence=0.50; evidence families disagree / need human review",
+        "market outlier=0.90; System-One abstained:low decision reliability", "low review priority",
+    ]
+    df = spark.createDataFrame([("", "u1", 1), ("", "u1", 2), (None, "u2", 3)], "token string, url string, n int")
+    last = lambda d: sorted(r.n for r in relational.keep_last(d.withColumn("o", F.col("n")), relational.snapshot_key(d), ["o"]).collect())
+    assert last(df) == [2, 3] and last(df.withColumn("token", F.when(F.col("n") == 1, "t").otherwise(F.col("token")))) == [1, 3]
+    assert last(df.drop("token", "url")) == [1, 2, 3]
