@@ -180,14 +180,14 @@ def test_alike_texts_like_brute_force(spark, monkeypatch):
             texts.append(" ".join(edited))
     texts = sorted({*texts, "", "a", "a b"})
     df = spark.createDataFrame([*enumerate(texts)], "listing_id long, text string").withColumn("terms", F.lit(1))
-    terms, n = textsim.vocabulary(df, "text", 300)
+    terms, n = textsim.vocabulary(df, "text", 9000)
     counts = [{} for _ in texts]
     for c, t in zip(counts, texts):
         for w in t.lower().split():
             for g in textsim.word_grams(w):
                 c[g] = c.get(g, 0) + 1
     total = {g: sum(c.get(g, 0) for c in counts) for g in {g for c in counts for g in c}}
-    kept = sorted(total, key=lambda g: (-total[g], g))[:300]
+    kept = sorted(total, key=lambda g: (-total[g], g))[:9000]
     assert n == len(texts) and terms == pytest.approx({g: math.log((1 + n) / (1 + sum(g in c for c in counts))) + 1 for g in kept})
     vectors_ = []
     for c in counts:
@@ -196,11 +196,11 @@ def test_alike_texts_like_brute_force(spark, monkeypatch):
         vectors_.append({g: x / norm for g, x in v.items()})
     want = {(a, b): sum(x * vectors_[b].get(g, 0) for g, x in vectors_[a].items()) for a, b in itertools.combinations(range(len(texts)), 2)}
     want = {k: v for k, v in want.items() if v >= 0.88}
-    got = {(r.a, r.b): r.similarity for r in textsim.alike_pairs(df, "listing_id", "text", most=300).collect()}
+    got = {(r.a, r.b): r.similarity for r in textsim.alike_pairs(df, "listing_id", "text", most=9000).collect()}
     assert len(want) > 10 and got.keys() <= want.keys() and len(got) >= 0.95 * len(want) and all(got[k] == pytest.approx(want[k]) for k in got)
     monkeypatch.setattr(textsim, "BAND_TEXTS", 2)  # crowded bands keep groups together
     group = lambda pairs: {r.id: r.component for r in components(spark.createDataFrame([*pairs] or [(0, 0)], "src long, dst long")).collect()}
-    crowded = group({(r.a, r.b) for r in textsim.alike_pairs(df, "listing_id", "text", most=300).collect()})
+    crowded = group({(r.a, r.b) for r in textsim.alike_pairs(df, "listing_id", "text", most=9000).collect()})
     assert sum(crowded.get(i) == c for i, c in group(got).items()) >= 0.9 * len(group(got))
     assert textsim.alike_pairs(df.limit(0), "listing_id", "text").count() == 0 and textsim.word_grams("a") == [" a "] and len(textsim.word_grams("abc")) == 3 + 2 + 1
 
