@@ -1,34 +1,49 @@
 """Robust statistics: medians, absolute deviations, peer hierarchies, ranks (A1-A5, W1, W2 of the survey).
 
-Exact medians of unbounded groups would gather a group's values in one place; here they come from value counts: values are grouped
-with map-side combining, and a running count over the distinct values of a group finds the middle ones.
+Exact quantiles of groups of any size without gathering a group in one task: cut points of all values part every group, counts
+of these parts (few numbers, combined before the shuffle) tell which part holds the wanted rank, and only the rows of that part are sorted.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import cut_lineage
 
 MAD_SCALE = 1.4826
+#: Rows that one part of all values is meant to hold, and the least number of parts.
+PART_ROWS, LEAST_PARTS = 1_000_000, 16
+
+
+def _parted(rows: DataFrame, value: str) -> DataFrame:
+    """The rows with _b, the part of all values that theirs lies in; cut points come from one sketch and only decide who sorts what."""
+    n = rows.count()
+    parts = max(LEAST_PARTS, -(-n // PART_ROWS))
+    sketch = rows.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []
+    if not sketch:
+        return rows.withColumn("_b", F.lit(0.0))
+    splits = [-float("inf"), *sorted({float(x) for x in sketch}), float("inf")]
+    return Bucketizer(splits=splits, inputCol=value, outputCol="_b", handleInvalid="keep").transform(rows)
 
 
 def group_quantiles(df: DataFrame, keys: list[str], value: str, at: tuple[float, ...] = (0.5,)) -> DataFrame:
     """(keys, n, q0, q1, ...): count and exact interpolated quantiles of non-null values in each group; null keys form a group."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    by = Window.partitionBy(*keys)
-    upto = by.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("_n", F.sum("_c").over(by)).withColumn("_to", F.sum("_c").over(upto)).withColumn("_from", F.col("_to") - F.col("_c"))
-    picks = []
-    for i, q in enumerate(at):
-        place = (F.col("_n") - 1) * F.lit(float(q))
-        low, high = F.floor(place), F.ceil(place)
-        for name, rank in (("l", low), ("h", high)):
-            picks.append(F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_to")), F.col("_v"))).alias(f"_{name}{i}"))
-        picks.append(F.max(place - low).alias(f"_w{i}"))
-    found = ranked.groupBy(*keys).agg(F.max("_n").alias("n"), *picks)
-    return found.select(*keys, "n", *[(F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * F.col(f"_w{i}")).alias(f"q{i}") for i in range(len(at))])
+    rows = _parted(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")), "_v")
+    counts = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
+    by = Window.partitionBy(*keys)  # of a group there are as many rows as parts
+    upto = by.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumn("n", F.sum("_c").over(by)).withColumn("_to", F.sum("_c").over(upto)).withColumn("_from", F.col("_to") - F.col("_c"))
+    places = [(F.col("n") - 1) * F.lit(float(q)) for q in at]
+    ranks = F.array(*[r for p in places for r in (F.floor(p), F.ceil(p))])
+    wanted = placed.withColumn("_r", ranks).where(F.exists("_r", lambda r: (r >= F.col("_from")) & (r < F.col("_to")))).select(*keys, "_b", "n", "_from", "_r")
+    held = _same(rows, wanted, [*keys, "_b"], "inner")
+    rank = F.col("_from") + F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_v")) - 1
+    picks = [F.max(F.when(F.get("_r", F.lit(k)) == F.col("_rank"), F.col("_v"))).alias(f"_p{k}") for k in range(2 * len(at))]
+    found = held.withColumn("_rank", rank).where(F.array_contains("_r", F.col("_rank"))).groupBy(*keys).agg(F.max("n").alias("n"), *picks)
+    weight = [p - F.floor(p) for p in places]
+    return found.select(*keys, "n", *[(F.col(f"_p{2 * i}") + (F.col(f"_p{2 * i + 1}") - F.col(f"_p{2 * i}")) * weight[i]).alias(f"q{i}") for i in range(len(at))])
 
 
 def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -44,8 +59,8 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left")
 
 def median_mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, n, med, mad) of each group."""
-    med = group_quantiles(df, keys, value).withColumnRenamed("q0", "med")
-    apart = _same(df.where(F.col(value).isNotNull()).select(*keys, value), med, keys).withColumn("_d", F.abs(F.col(value) - F.col("med")))
+    med = cut_lineage(group_quantiles(df, keys, value).withColumnRenamed("q0", "med"))
+    apart = cut_lineage(_same(df.where(F.col(value).isNotNull()).select(*keys, value), med, keys).select(*keys, F.abs(F.col(value) - F.col("med")).alias("_d")))
     mad = group_quantiles(apart, keys, "_d").select(*keys, F.col("q0").alias("mad"))
     return _same(med, mad, keys)
 
@@ -63,20 +78,21 @@ def global_robust_z(df: DataFrame, value: str, out: str) -> DataFrame:
 def peer_robust_z(df: DataFrame, values: list[str], levels: list[list[str]], id_col: str, min_count: int = 8, clip: float = 8.0) -> DataFrame:
     """(id, peer_anomaly_<value>...): |robust z| / clip within the narrowest level that has enough values, falling back to all rows, then 0.
 
-    All value columns go through a level together, as rows of (id, name, value): one set of shuffles for each level.
+    All value columns and all levels are grouped together, as rows of (id, level, keys of the level, name, value): one set of shuffles.
     """
     keys = list(dict.fromkeys(k for level in levels for k in level))
+    ladder = [*levels, []]
     named = F.explode(F.array(*[F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("value")) for v in values]))
-    long = cut_lineage(df.select(id_col, *keys, named.alias("x")).select(id_col, *keys, "x.name", "x.value"))
-    found, result = [], long
-    for i, level in enumerate([*levels, []]):
-        s = median_mad(long, [*level, "name"], "value").withColumnsRenamed({"n": f"_n{i}", "med": f"_m{i}", "mad": f"_d{i}"})
-        result = _same(result, s, [*level, "name"])
-        z = _z(F.col("value"), F.col(f"_m{i}"), F.col(f"_d{i}"))
-        found.append(F.when(F.col(f"_n{i}") >= min_count, z) if level else z)
-    score = F.least(F.abs(F.coalesce(*found, F.lit(0.0))), F.lit(clip)) / clip
-    scored = result.select(id_col, "name", score.alias("z"))
-    return scored.groupBy(id_col).agg(*[F.max(F.when(F.col("name") == v, F.col("z"))).alias(f"peer_anomaly_{v}") for v in values])
+    kinds = dict(df.dtypes)
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), *[(F.col(k) if k in level else F.lit(None).cast(kinds[k])).alias(k) for k in keys]) for i, level in enumerate(ladder)]))
+    long = df.select(id_col, *keys, named.alias("x")).select(id_col, *keys, "x.name", "x.value").where("value is not null")
+    long = cut_lineage(long.select(id_col, "name", "value", steps.alias("s")).select(id_col, "name", "value", "s.*"))
+    by = ["level", *keys, "name"]
+    compared = _same(long, cut_lineage(median_mad(long, by, "value")), by)
+    enough = (F.col("level") == len(ladder) - 1) | (F.col("n") >= min_count)
+    z = F.when(enough, F.least(F.abs(_z(F.col("value"), F.col("med"), F.col("mad"))), F.lit(clip)) / clip)
+    best = compared.where(enough).groupBy(id_col).agg(*[F.min_by(F.when(F.col("name") == v, z), F.when(F.col("name") == v, F.col("level"))).alias(f"peer_anomaly_{v}") for v in values])
+    return df.select(id_col).join(best, id_col, "left").select(id_col, *[F.coalesce(f"peer_anomaly_{v}", F.lit(0.0)).alias(f"peer_anomaly_{v}") for v in values])
 
 
 def quantile_rescale(df: DataFrame, value: str, out: str, low: float = 0.05, high: float = 0.95) -> DataFrame:

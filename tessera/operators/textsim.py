@@ -13,8 +13,8 @@ from tessera.session import cut_lineage, small_or_shuffled
 
 # Lengths of character n-grams, terms of the vocabulary, similarity of an edge.
 LOW, HIGH, MOST_TERMS, ALIKE = 3, 5, 12_000, 0.88
-#: Bands of minima of two-word sequences; texts of one band that are more than so many are compared with REPRESENTATIVES of it.
-BANDS, ROWS, WIDTH = 24, 3, 2
+#: Bands of minima of two-word sequences, of which two texts share MEETINGS before they are compared; texts of one band that are more than so many are compared with REPRESENTATIVES of it.
+BANDS, ROWS, WIDTH, MEETINGS = 32, 3, 2, 2
 BAND_TEXTS, REPRESENTATIVES = 64, 4
 MEMO = 200_000
 
@@ -158,12 +158,12 @@ def hash_of(text: str) -> int:
 def alike_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = ALIKE, most: int = MOST_TERMS) -> DataFrame:
     """(a, b, similarity) of differing texts, a < b, whose n-gram vectors have at least a cosine of ``threshold``.
 
-    ``df`` has one row for each differing text. Texts meet in min-hash bands; every pair of a band is verified exactly on the vectors. In a
+    ``df`` has one row for each differing text. Texts meet in min-hash bands; every pair that shares enough of them is verified exactly on the vectors. In a
     band of very many texts each is compared with a few representatives, which keeps its connected group together without all pairs.
     """
     met = cut_lineage(_bands(df, id_col, text_col).withColumn("n", F.count("*").over(Window.partitionBy("band"))).where("n > 1"))
     few, many = met.where(F.col("n") <= BAND_TEXTS), met.where(F.col("n") > BAND_TEXTS)
-    pairs = few.select(F.col("id").alias("a"), "band").join(few.select(F.col("id").alias("b"), "band"), "band").where("a < b").select("a", "b")
+    pairs = few.select(F.col("id").alias("a"), "band").join(few.select(F.col("id").alias("b"), "band"), "band").where("a < b").groupBy("a", "b").agg(F.count("*").alias("met")).where(F.col("met") >= MEETINGS).select("a", "b")
     heads = many.groupBy("band").agg(F.array_distinct(F.array(*[F.min_by("id", F.xxhash64("id", F.lit(i))) for i in range(REPRESENTATIVES)])).alias("heads"))
     star = many.join(heads, "band").select(F.col("id").alias("x"), F.explode("heads").alias("y")).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     found = cut_lineage(pairs.union(star).distinct())
