@@ -157,3 +157,8 @@ def label_level(value: Column) -> Column:
 def blocked_page(status: Column, body: Column, hints: list[str]) -> Column:
     """refused requests and pages with a hint of it."""
     return F.coalesce(status.isin(401, 403, 429), F.lit(False)) | F.coalesce(_contains_any(F.lower(body), hints), F.lit(False))
+
+
+def fixed(value: Column, pattern: str = "0.00") -> Column:
+    """a number with fixed decimals, half to even on its binary value, without grouping."""
+    return F.call_function("format_number", value, F.lit(pattern))

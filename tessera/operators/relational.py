@@ -72,3 +72,49 @@ def row_std(parts: list[Column]) -> Column:
     mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / n
     square = F.aggregate(F.transform(a, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda s, x: s + x)
     return F.when(n >= 2, F.sqrt(square / (n - 1))).otherwise(0.0)
+
+
+def box(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, n, low, q1, median, q3, high) of each group; low and high are the values farthest out within 1.5 times the box."""
+    from tessera.operators.stats import _same, group_quantiles
+
+    q = group_quantiles(df, keys, value, (0.25, 0.5, 0.75))
+    reach = 1.5 * (F.col("q2") - F.col("q0"))
+    joined = _same(df.where(F.col(value).isNotNull()).select(*keys, value), q, keys)
+    inside = F.when(F.col(value).between(F.col("q0") - reach, F.col("q2") + reach), F.col(value))
+    return joined.groupBy(*keys).agg(F.max("n").alias("n"), F.min(inside).alias("low"), F.max("q0").alias("q1"), F.max("q1").alias("median"), F.max("q2").alias("q3"), F.max(inside).alias("high"))
+
+
+def one_hot(df: DataFrame, column: str, most: int = 80) -> DataFrame:
+    """One 0/1 column for each value (null is one of them, named ``<column>_nan``); a column of more than ``most`` values is dropped instead."""
+    values = [r[0] for r in df.select(column).distinct().limit(most + 1).collect()]
+    if len(values) > most:
+        return df.drop(column)
+    named = {f"{column}_{'nan' if v is None else v}": F.col(column).eqNullSafe(F.lit(v)).cast("int") for v in sorted(values, key=lambda v: (v is None, str(v)))}
+    return df.withColumns(named).drop(column)
+
+
+def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """Rows with ``place``, their position in an order that a hash of key and seed gives: the same on every run and for every partitioning."""
+    return numbered(df.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))), ["_h", key], "place").drop("_h")
+
+
+def numbered(df: DataFrame, order: list[str], out: str, parts: int = 64) -> DataFrame:
+    """Rows with their position from 1 in an order, without gathering them in one task: ranges are sorted apart and counted before."""
+    from tessera.session import cut_lineage
+
+    ranged = cut_lineage(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()))
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return ranged.join(F.broadcast(sizes.select("_p", "_before")), "_p").withColumn(out, within + F.col("_before")).drop("_p", "_before")  # at most ``parts`` rows
+
+
+def candidates(priority: DataFrame, exploration_: DataFrame, key: str) -> DataFrame:
+    """(key, reason) of both selections; a row chosen twice keeps the first reason."""
+    both = priority.select(key, F.lit("priority").alias("reason"), F.lit(0).alias("_i")).unionByName(exploration_.select(key, F.lit("exploration").alias("reason"), F.lit(1).alias("_i")))
+    return both.groupBy(key).agg(F.min_by("reason", "_i").alias("reason"))
+
+
+def stable_id(tokens: Column) -> Column:
+    """the first 10 hexadecimal digits of the SHA-1 of sorted tokens; tokens are an array of bounded size."""
+    return F.substring(F.sha1(F.array_join(F.array_sort(tokens), "|")), 1, 10)

@@ -72,6 +72,7 @@ def text_conflicts(df: DataFrame) -> DataFrame:
     }).drop("_areas", "_rooms")
 
 
+LABELS = ["disposition", "integrity_class", "duplicate_pattern", "market_status", "bait", "data_error", "manual_review", "consistency_level", "label_confidence", "notes"]
 PRICE_COLUMNS = [f"equivalent_deposit_{m}_per_m2" for m in MULTIPLES]
 
 
@@ -169,7 +170,7 @@ def reasons(columns: list[str]) -> Column:
         return F.col(name).cast("string") if name in columns else F.lit(None).cast("string")
 
     def said(text: str, value: Column) -> Column:
-        return F.concat(F.lit(text), F.call_function("format_number", value, F.lit("0.00")))
+        return F.concat(F.lit(text), L.fixed(value))
 
     # Phrases and bounds.
     ratio = F.col("price_model_ratio") if "price_model_ratio" in columns else F.lit(None).cast("double")
@@ -225,6 +226,10 @@ def scored(df: DataFrame, detectors: DataFrame | None = None) -> DataFrame:
 
 def review_queue(df: DataFrame, bands: tuple[str, ...] = ("review", "high")) -> DataFrame:
     """K3, O1: rows of the bands, most urgent first, with blank label columns."""
-    labels = ["disposition", "integrity_class", "duplicate_pattern", "market_status", "bait", "data_error", "manual_review", "consistency_level", "label_confidence", "notes"]
-    queue = df.where(F.col("risk_band").isin(*bands)).withColumns({f"human_{x}": F.lit("") for x in labels})
+    queue = df.where(F.col("risk_band").isin(*bands)).withColumns({f"human_{x}": F.lit("") for x in LABELS})
     return queue.orderBy(F.desc("review_priority_score"), F.desc("misleading_risk_score"), F.desc("market_outlier_score"), "listing_id")
+
+
+def annotation_sample(df: DataFrame) -> DataFrame:
+    """K4: evaluated rows with blank label columns."""
+    return df.where("decision_evaluated").withColumns({f"human_{x}": F.lit("") for x in LABELS})

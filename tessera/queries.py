@@ -317,6 +317,71 @@ def q41(s, d):
     return relational.exploration(t, "deposit_toman", "listing_id", 24, 6).select("listing_id", "stratum", "turn")
 
 
+@query("q53_candidates", f"""WITH {_CLEAN}, a AS (SELECT listing_id FROM l WHERE rent_monthly_toman >= 1000000 ORDER BY rent_monthly_toman DESC, listing_id LIMIT 60), v AS (SELECT listing_id, deposit_toman AS v FROM l WHERE deposit_toman IS NOT NULL),
+p AS (SELECT listing_id, (rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0) / count(*) OVER () AS pct FROM v), s AS (SELECT listing_id, CAST(least(5, floor(pct * 6)) AS INT) AS stratum FROM p),
+t AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5(listing_id::VARCHAR), listing_id) AS turn FROM s), b AS (SELECT listing_id FROM t ORDER BY turn, stratum, listing_id LIMIT 24)
+SELECT listing_id, 'priority' AS reason FROM a UNION ALL SELECT listing_id, 'exploration' FROM b WHERE listing_id NOT IN (SELECT listing_id FROM a)""")
+def q53(s, d):
+    return relational.candidates(q40(s, d), q41(s, d), "listing_id")
+
+
+@query("q54_scattered_answers", """SELECT l.listing_id, h.listing_id IS NOT NULL AS evaluated, coalesce(h.decision_abstain, false) AS abstain, coalesce(nullif(trim(h.human_disposition), ''), 'none') AS disposition FROM listing l LEFT JOIN human_label h USING (listing_id)""")
+def q54(s, d):
+    answers = table(s, d, "human_label").select("listing_id", F.lit(True).alias("evaluated"), F.col("decision_abstain").alias("abstain"), L.label_choice(F.col("human_disposition")).alias("disposition"))
+    joined = table(s, d, "listing").select("listing_id").join(answers, "listing_id", "left")
+    return joined.select("listing_id", F.coalesce("evaluated", F.lit(False)).alias("evaluated"), F.coalesce("abstain", F.lit(False)).alias("abstain"), F.coalesce("disposition", F.lit("none")).alias("disposition"))
+
+
+@query("q55_annotation_sample", """SELECT listing_id, token, '' AS human_disposition, '' AS human_notes FROM human_label WHERE decision_evaluated""")
+def q55(s, d):
+    return P.annotation_sample(table(s, d, "human_label").select("listing_id", "token", "decision_evaluated")).select("listing_id", "token", "human_disposition", "human_notes")
+
+
+@query("q56_one_hot", """SELECT doc_id, (doc_kind IS NOT DISTINCT FROM 'ad_text')::INT AS doc_kind_ad_text, (doc_kind IS NOT DISTINCT FROM 'agent_note')::INT AS doc_kind_agent_note, (doc_kind IS NOT DISTINCT FROM 'area_guide')::INT AS doc_kind_area_guide,
+ (doc_kind IS NOT DISTINCT FROM 'inventory')::INT AS doc_kind_inventory, (doc_kind IS NOT DISTINCT FROM 'review_note')::INT AS doc_kind_review_note FROM documents""")
+def q56(s, d):
+    return relational.one_hot(table(s, d, "documents").select("doc_id", "doc_kind"), "doc_kind")
+
+
+@query("q57_shuffled", """SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) AS place FROM documents""")
+def q57(s, d):
+    return relational.shuffled(table(s, d, "documents").select("doc_id"), "doc_id", 42)
+
+
+@query("q58_intersect", """SELECT token FROM listing INTERSECT SELECT token FROM human_label""")
+def q58(s, d):
+    return table(s, d, "listing").select("token").intersect(table(s, d, "human_label").select("token"))
+
+
+@query("q59_except_all", """SELECT token FROM listing EXCEPT ALL SELECT token FROM human_label""")
+def q59(s, d):
+    return table(s, d, "listing").select("token").exceptAll(table(s, d, "human_label").select("token"))
+
+
+@query("q67_counts_by_answer", """SELECT coalesce(nullif(trim(human_disposition), ''), 'none') AS answer, decision_evaluated, count(*) AS n FROM human_label GROUP BY ALL""")
+def q67(s, d):
+    return table(s, d, "human_label").groupBy(F.coalesce(L.label_choice(F.col("human_disposition")), F.lit("none")).alias("answer"), "decision_evaluated").agg(F.count("*").alias("n"))
+
+
+@query("q68_box", f"""WITH {_CLEAN}, q AS (SELECT source, count(rent_monthly_toman) AS n, quantile_cont(rent_monthly_toman, 0.25) AS q1, median(rent_monthly_toman) AS med, quantile_cont(rent_monthly_toman, 0.75) AS q3 FROM l WHERE rent_monthly_toman IS NOT NULL GROUP BY source)
+SELECT q.source, any_value(n) AS n, min(rent_monthly_toman) FILTER (WHERE rent_monthly_toman BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS low, round(any_value(q1), 4) AS q1, round(any_value(med), 4) AS median, round(any_value(q3), 4) AS q3,
+ max(rent_monthly_toman) FILTER (WHERE rent_monthly_toman BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS high FROM q JOIN l ON l.source IS NOT DISTINCT FROM q.source WHERE rent_monthly_toman IS NOT NULL GROUP BY q.source""")
+def q68(s, d):
+    b = relational.box(_listing(s, d).select("source", "rent_monthly_toman"), ["source"], "rent_monthly_toman")
+    return b.select("source", "n", "low", *[_r(F.col(c), 4).alias(c) for c in ("q1", "median", "q3")], "high")
+
+
+@query("q69_number_text", f"""WITH {_CLEAN} SELECT listing_id, replace(printf('%.2f', area_m2), ',', '') AS said FROM l WHERE area_m2 IS NOT NULL""")
+def q69(s, d):
+    return _listing(s, d).where("area_m2 is not null").select("listing_id", L.fixed(F.col("area_m2")).alias("said"))
+
+
+@query("q74_stable_ids", """SELECT listing_id, substr(sha1(array_to_string(list_sort([coalesce(token, ''), coalesce(building_code, ''), coalesce(source, '')]), '|')), 1, 10) AS stable FROM listing""")
+def q74(s, d):
+    parts = F.array(*[F.coalesce(c, F.lit("")) for c in ("token", "building_code", "source")])
+    return table(s, d, "listing").select("listing_id", relational.stable_id(parts).alias("stable"))
+
+
 # ---------------------------------------------------------------- decisions, calibration, evaluation
 
 _OPTIONS = """o AS (SELECT listing_id, decision_abstain, human_disposition, x.o AS option, x.i AS option_idx, try_cast(json_extract_string(decision_raw_json, '$.disposition.probabilities.' || x.o) AS DOUBLE) AS p,
