@@ -3,7 +3,7 @@
 Texts are spread over partitions of bounded size; each packs its own by best-fit decreasing and computes lower bounds on its
 container count from dual-feasible functions. A partition whose count meets its bound is certified. Containers that stay loose,
 and at least the loosest one of every partition, are opened again: their texts are exchanged, spread anew over far fewer
-partitions and packed again, until the opened texts meet their bound or fit one partition. The driver sees counts only.
+partitions and packed again, until the opened texts fit one partition or a round opens no fewer texts than the one before. What is then above the bound is told by ``summary``. The driver sees counts only.
 
 A text is split only if it is longer than the capacity: into full containers and one rest. Null and empty texts have no tokens
 and ride along in any container. Ties of size are packed in order of id; repeated rows are items of their own.
@@ -24,7 +24,6 @@ CAPACITY = 4096
 PART_ITEMS = 50_000
 #: Containers filled less than this are opened again.
 TIGHT = 0.995
-ROUNDS = 8
 
 
 def lower_bound(sizes: np.ndarray, capacity: int = CAPACITY) -> int:
@@ -109,11 +108,12 @@ def pack(tokens: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, pa
     """(id, piece, tokens, container_id) of every text; ``tokens`` has (id, tokens)."""
     items = cut_lineage(pieces(tokens, id_col, capacity))
     done: DataFrame | None = None
-    for round_no in range(ROUNDS):
+    round_no, before = 0, None
+    while True:
         n = items.count()
         parts = max(1, -(-n // part_items))
         packed = cut_lineage(_packed(items, round_no, parts, capacity))
-        last = parts == 1 or round_no == ROUNDS - 1
+        last = parts == 1 or (before is not None and n >= before)
         # a certified partition keeps all but its loosest container, which others may still complete
         loose = F.col("loosest") | ((F.col("bins") > F.col("bound")) & (F.col("fill") < TIGHT * capacity))
         kept = packed if last else packed.where(~loose)
@@ -121,7 +121,7 @@ def pack(tokens: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, pa
         done = closed if done is None else done.unionByName(closed)
         if last:
             break
-        items = packed.where(loose).select("id", "piece", "tokens")
+        items, before, round_no = packed.where(loose).select("id", "piece", "tokens"), n, round_no + 1
     return done.select(F.col("id").alias(id_col), "piece", "tokens", F.col("container").alias("container_id"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.chars import COMPOSED, INVISIBLE, PERSIAN_DIGITS, one_to_one
+from tessera.functions.chars import COMPOSED, INVISIBLE, PERSIAN_DIGITS, PLAIN_CLASS, one_to_one
 from tessera.llm import bpe, confusables, cutoff, neardup, packing, pii, repetition
 from tessera.session import table
 
@@ -42,7 +42,15 @@ _RUNS = """g AS (SELECT doc_id, len(w) AS n, i, array_to_string(w[i:i+4], ' ') A
 r AS (SELECT doc_id, n, i, row_number() OVER (PARTITION BY doc_id, g ORDER BY i) AS k FROM g),
 c AS (SELECT DISTINCT doc_id, n, unnest(range(i, i + 5)) AS at FROM r WHERE k > 1)"""
 
+_LETTER = r"[\x{620}-\x{64a}\x{671}-\x{6d3}]"
+_JOINED = "t"
+for _after in (rf"({_LETTER})", rf"({_LETTER})", r"(\s*|\.\.\.\s*|…\s*|�\s*)$"):
+    _JOINED = rf"regexp_replace({_JOINED}, '({_LETTER})\x{{200c}}{_after}', '\1\2', 'g')"
+_FIELDS = " UNION ALL ".join(f"SELECT listing_id, '{f}' AS field_name, {f} AS t FROM listing" for f in confusables.FIELDS)
+
 ORACLE: dict[str, str] = {
+    # texts that hold a character with another prototype, or a joiner that stands in no Persian word
+    "p6_found": rf"""SELECT listing_id, field_name FROM ({_FIELDS}) WHERE regexp_matches({_JOINED}, '[^{PLAIN_CLASS.replace(chr(92) + "x{200c}", "")}]')""",
     "p10_found": rf"""WITH w AS (SELECT doc_id, regexp_extract_all(lower({_PLAIN}), '[\p{{L}}\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL),
 {_RUNS} SELECT doc_id FROM c GROUP BY doc_id, n HAVING count(*) >= 0.3 * n""",
     "p10_profile": rf"""WITH w AS (SELECT doc_id, text AS t, regexp_extract_all(lower({_PLAIN}), '[\p{{L}}\p{{N}}]+') AS w, list_filter(string_split_regex(text, '\r?\n'), lambda x: trim(x) <> '') AS l FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),

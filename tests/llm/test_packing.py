@@ -35,3 +35,9 @@ def test_rows_keep_whole(spark):
     one = packing.summary(packing.pack(df)).first()
     assert one.containers >= one.bound and one.items == len(got) and one.used == pytest.approx(one.tokens / one.containers / 4096)
     assert packing.pack(df.limit(0)).count() == 0
+
+
+def test_rounds_end_without_progress(spark):
+    tokens = spark.createDataFrame([(i, 0) for i in range(40)] + [(100 + i, 60) for i in range(40)], "doc_id long, tokens int")
+    got = packing.pack(tokens, capacity=100, part_items=5).collect()
+    assert len(got) == 80 and len({r.container_id for r in got if r.tokens}) == 40
