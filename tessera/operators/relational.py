@@ -15,10 +15,10 @@ def keep_last(df: DataFrame, keys: list[Column], order: list[str]) -> DataFrame:
 
 
 def snapshot_key(df: DataFrame, candidates: tuple[str, ...] = ("token", "url")) -> list[Column]:
-    """The key of a whole snapshot, the first candidate that any row has, else all columns; rows without it collapse into one."""
+    """The key of a whole snapshot, the first candidate that any row has, else all columns; blank ones collapse into one."""
     for c in candidates:
         if c in df.columns and not df.where(F.length(c) > 0).limit(1).isEmpty():
-            return [F.coalesce(F.col(c), F.lit(""))]
+            return [F.coalesce(F.trim(c), F.lit(""))]
     return [F.col(c) for c in df.columns]
 
 

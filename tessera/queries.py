@@ -109,7 +109,7 @@ def q06(s, d):
 
 
 @query("q07_dedupe_keep_last", """SELECT listing_id, token FROM (SELECT listing_id, token, row_number() OVER (
- PARTITION BY coalesce(token, '') ORDER BY crawled_at DESC NULLS LAST, listing_id DESC) AS rn FROM listing) WHERE rn = 1""")
+ PARTITION BY coalesce(trim(token), '') ORDER BY crawled_at DESC NULLS LAST, listing_id DESC) AS rn FROM listing) WHERE rn = 1""")
 def q07(s, d):
     t = table(s, d, "listing").select("listing_id", "token", "url", "crawled_at")
     return relational.keep_last(t, relational.snapshot_key(t), ["crawled_at", "listing_id"]).select("listing_id", "token")

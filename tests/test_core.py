@@ -87,7 +87,7 @@ def test_components_like_union_find(spark, seed):
 
 def test_relational(spark):
     df = spark.createDataFrame([(1, "a", 1), (2, "a", 2), (3, " ", 1), (4, None, 5)], "id int, token string, at int")
-    kept = relational.keep_last(df, [relational.snapshot_key(F.col("token"), F.lit(None).cast("string"))], ["at", "id"])
+    kept = relational.keep_last(df, relational.snapshot_key(df), ["at", "id"])
     assert sorted(r.id for r in kept.collect()) == [2, 4]
     values = spark.createDataFrame([(1.0, None, 3.0), (None, None, None)], "a double, b double, c double")
     got = values.select(relational.weighted_mean([(F.col("a"), 0.5), (F.col("b"), 0.2), (F.col("c"), 0.3)]).alias("m"), relational.row_std([F.col("a"), F.col("b"), F.col("c")]).alias("s")).collect()
