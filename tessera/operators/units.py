@@ -105,8 +105,15 @@ def _numbers(phrase: Column) -> tuple[Column, Column]:
     return F.try_element_at(found, F.lit(1)).try_cast("double"), F.try_element_at(found, F.lit(2)).try_cast("double")
 
 
-def _factor(edges: list[Edge], unit: str) -> float:
-    return next(e.scale for e in edges if e.source == unit and e.target in CANONICAL.values())
+def _factor(edges: list[Edge], unit: str) -> Column:
+    """Scale of a unit to the canonical one of its measure; null for a unit that the reference table doesn't have."""
+    return F.lit(next((e.scale for e in edges if e.source == unit), None)).cast("double")
+
+
+def _units(edges: list[Edge], measure: str) -> list[str]:
+    """Units of a measure that numbers may be stored in: those with known spellings first, then further ones of the reference table."""
+    held = [e.source for e in edges if e.target == CANONICAL[measure] and e.source not in {t[0] for t in TEXT_EDGES}]
+    return [u for u in LABELS if u in held] + [u for u in held if u not in LABELS]
 
 
 def money(phrase: Column, edges: list[Edge]) -> Column:
@@ -123,7 +130,7 @@ def _unit_of(label: Column, units: list[str]) -> Column:
     spelled = F.lower(F.trim(label))
     out = F.lit(None).cast("string")
     for unit in units:
-        out = F.when(spelled.isin(LABELS[unit]), unit).otherwise(out)
+        out = F.when(spelled.isin(LABELS.get(unit, [unit, unit.replace("_", " ")])), unit).otherwise(out)
     return out
 
 
@@ -132,7 +139,7 @@ def area(phrase: Column, edges: list[Edge], default: str | None = None) -> Colum
     p = phrase
     first, _ = _numbers(p)
     unit = F.when(p.rlike("فوت|sq ?ft"), _factor(edges, "sqft")).when(p.rlike("یارد|sq ?yd"), _factor(edges, "sqyd")).when(p.rlike(r"آر\s*$|ares?\s*$"), _factor(edges, "are")).when(p.rlike("متر|sqm|m2|m²"), 1.0)
-    return first * F.coalesce(unit, F.lit(_factor(edges, default) if default else None).cast("double"))
+    return first * F.coalesce(unit, _factor(edges, default or ""))
 
 
 def _near(a: Column, b: Column, tolerance: float) -> Column:
@@ -169,8 +176,7 @@ def source_units(listings: DataFrame, edges: list[Edge], id_col: str = "listing_
         "*", *[plain_text(said[f]).alias(f"_said_{f}") for f in LEAST], *[plain_text(shown[f]).alias(f"_shown_{f}") for f in _SHOWN],
         plain_text(F.nullif(F.regexp_extract("_text", _AREA_SAID, 0), F.lit(""))).alias("_said_area"), plain_text(F.nullif(F.regexp_extract("_title", _AREA_TITLE, 0), F.lit(""))).alias("_title_area"),
     ).drop("_text", "_shown", "_title")
-    prices = ["toman", "rial", "thousand_toman", "million_toman", "billion_toman"]
-    areas = ["m2", "sqft", "sqyd", "are"]
+    prices, areas = _units(edges, "price"), _units(edges, "area")
     known = phrases.select(
         "_id", "_rooms", *kept, *[_real(F.col(f"_{f}")).alias(f"_{f}") for f in LEAST], _real(F.col("_area_m2"), STAND_IN_AREAS).alias("_area_m2"),
         _unit_of(F.col("_price_unit"), prices).alias("_price_label"), _unit_of(F.col("_area_unit"), areas).alias("_area_label"),
@@ -225,7 +231,9 @@ def convert(listings: DataFrame, unit_ref: DataFrame, id_col: str = "listing_id"
     targets = spark.createDataFrame([(e.source, e.target, e.scale, e.offset) for e in edges], "unit string, target string, scale double, offset double")
     # the outer form: for the plain one the optimizer infers a filter and repeats all expressions below it
     cells = source_units(listings, edges, id_col).select(id_col, F.explode_outer("cells").alias("c")).select(id_col, "c.*")
-    joined = cells.join(F.broadcast(targets), "unit", "left")  # one row for each unit, at most 1000
+    canonical = F.when(F.col("field_name") == "area_m2", CANONICAL["area"]).otherwise(CANONICAL["price"])
+    ways = targets.withColumnsRenamed({"unit": "_unit"})
+    joined = cells.join(F.broadcast(ways), (F.col("unit") == F.col("_unit")) & (canonical == F.col("target")), "left")  # one row for each unit, at most 1000
     return joined.select(
         id_col, "field_name", "value", "unit", "evidence", "target",
         (F.col("value") * F.col("scale") + F.col("offset")).alias("common_value"), F.coalesce(F.col("unit") != F.col("target"), F.lit(False)).alias("converted"),

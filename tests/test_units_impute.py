@@ -116,3 +116,10 @@ def test_filled_tables_have_one_unit(spark, unit_ref):
     made = [{"listing_id": i, "neighborhood": "n", "area_m2": a, "area_unit": u, "rooms": 2.0, "year_built_shamsi": 1390.0} for i, (a, u) in enumerate([(1076.391, "sqft"), (100.0, "m2"), (1.0, "are"), (None, None), (9999.0, None), (99999.0, None)])]
     got = {r.listing_id: r for r in impute.fill(rows(spark, *made), unit_ref).collect()}
     assert all(r.area_m2 == pytest.approx(100.0, rel=1e-4) for r in got.values()) and [i for i, r in sorted(got.items()) if r.area_m2_filled] == [3, 4, 5]
+
+
+def test_units_added_and_left_out(spark, unit_ref):
+    more = unit_ref.where("unit_code != 'sqyd'").unionByName(spark.createDataFrame([("hectare", "area", 10_000.0)], "unit_code string, measure string, to_common double"))
+    made = [{"listing_id": 1, "area_m2": 0.5, "area_unit": "Hectare"}, {"listing_id": 2, "area_m2": 90.0, "area_unit": "sq yd"}]
+    got = {r.listing_id: (r.unit, r.common_value) for r in units.convert(rows(spark, *made), more).where("field_name = 'area_m2'").collect()}
+    assert got == {1: ("hectare", 5000.0), 2: ("m2", 90.0)}
