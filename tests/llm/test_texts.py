@@ -216,6 +216,29 @@ def test_copies_in_crowded_bands(spark, monkeypatch):
     assert {i: v for i, v in judged().items() if i >= 100 and any(v)} == want
 
 
+def test_crowded_bands_are_judged_like_small_ones(spark, monkeypatch):
+    rng = random.Random(21)
+    text = advert(rng, 12)
+    words = text.split(" ")
+    rows = [(i, text + f" پایان{i}") for i in range(20)]
+    for k, at in enumerate(a for a in range(45, len(words) - 6) if not words[a - 1].endswith(".")):
+        part = words[:at]
+        part[at - 2 - k % 3] = f"تازه{k}"  # an edit within the four words before the end
+        rows.append((100 + k, " ".join(part)))
+    other = advert(rng, 9).split(" ")
+    rows.append((500, " ".join(words[:10] + other[:40] + words[50:55])))  # shares the beginning and the words before the end, but is no copy
+    df = spark.createDataFrame(rows, "listing_id long, description string").withColumn("source", F.lit("s"))
+    ends, _ = cutoff.survey(df, "listing_id", "description", "source")
+    of_text = ends.select("id", "text_id")
+    got = []
+    for most, block in ((100, 300), (3, 300), (3, 7)):
+        monkeypatch.setattr(cutoff, "BAND_TEXTS", most)
+        monkeypatch.setattr(cutoff, "CELL_TEXTS", block, raising=False)
+        found = cutoff.aligned(df, ends, "listing_id", "description").join(of_text, "text_id").collect()
+        got.append({r.id: (r.goes_on > 0, r.ends_there > 0 and not r.goes_on) for r in found if r.goes_on or r.ends_there})
+    assert got[0] == got[1] == got[2] and len(got[0]) >= 20 and 500 not in got[0]
+
+
 def test_ends_behind_a_mark(spark):
     cut = ["deposit 590m toman and monthly rent 22,", "کرایه ماهانه ۹۰,۰۰۰,", "پیش پرداخت،", "rooms:", "a and/", "big rooms -", "rooms (", "rooms («"]
     whole = ["big rooms.", "big rooms!", "big rooms؟", "big rooms ✅", "(big rooms)", "«big rooms»"]
