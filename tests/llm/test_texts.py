@@ -296,6 +296,25 @@ def test_crowded_tables_and_copies(spark, monkeypatch):
     assert {(100, 100 + i) for i in range(1, 9)} <= got and (101, 102) not in got and {(i, 100) for i in range(12)} <= got
 
 
+def test_crowded_tables_lose_no_candidates(spark, monkeypatch):
+    rng = random.Random(31)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+    rows = [(i, " ".join([f"u{rng.randrange(10**6)}" if k % 11 == i % 4 else w for k, w in enumerate(base)])) for i in range(70)]
+    rows += [(100 + i, " ".join(base[:60] + [f"v{rng.randrange(10**6)}" for _ in range(45)])) for i in range(30)]  # meet, but are too different
+    df = spark.createDataFrame(rows, "listing_id long, description string")
+    keys = {r.id: set(r["keys"]) for r in neardup.fingerprints(df, "listing_id", "description").collect()}
+    sets = {i: {tuple(w[j : j + 3]) for j in range(len(w) - 2)} for i, t in rows for w in [sketch.words(t)]}
+    want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(keys[a] & keys[b]) >= 2 and len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])}
+    got = []
+    for rows_, block, sample in ((10**9, 512, 256), (3, 512, 256), (20, 7, 256), (20, 7, 1)):
+        monkeypatch.setattr(neardup, "TABLE_ROWS", rows_)
+        monkeypatch.setattr(neardup, "BLOCK_ROWS", block, raising=False)
+        monkeypatch.setattr(neardup, "SAMPLE", sample)
+        got.append({(r.listing_id_a, r.listing_id_b) for r in neardup.listing_pairs(df).collect()})
+    assert len(want) > 300 and want <= got[0] and all(g == got[0] for g in got[1:])
+    assert all(len(keys[a] & keys[b]) >= 1 and len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b]) for a, b in got[0])
+
+
 def test_groups_of_every_listing(spark):
     rng = random.Random(10)
     long = advert(rng, 9)
