@@ -166,6 +166,32 @@ def test_fixed_work_of_models():
     assert [vectors.lof_neighbours(n) for n in (5, 60, 120, 300, 10_000)] == [4, 8, 10, 25, 25]
 
 
+def test_boosting_over_cells_like_spark_ml(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    from tessera.operators.price_model import bin_edges, fold_of, out_of_fold_boosting
+
+    rng = random.Random(7)
+    rows = [(i, float(rng.randrange(20)), rng.choice([None, 1.0, 2.0, 4.0]), float(rng.randrange(12))) for i in range(600)]
+    rows = [(i, a, b, c, rng.choice([0.0, 1.0, 1.0, 1.0]) * math.exp(8 + a / 6 + (b or 0) * c / 20 + rng.gauss(0, 0.3))) for i, a, b, c in rows]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, price double")
+    spark.sparkContext.setJobGroup("boosting", "boosting")
+    got = {r.id: r.signed_log_residual for r in out_of_fold_boosting(df, "id", ["a", "b", "c"], "price").collect()}
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("boosting")
+    spark.sparkContext.setJobGroup("", "")
+    assert len(got) == sum(r[4] > 0 for r in rows) and len(jobs) < 220  # no job for each iteration of each fold
+    got = {r.id: r.signed_log_residual for r in out_of_fold_boosting(df, "id", ["a", "b", "c"], "price", folds=3, iterations=10).collect()}
+    b = [r[2] for r in rows if r[2] is not None]
+    train = VectorAssembler(inputCols=["a", "b", "c"], outputCol="v").transform(df.fillna(float(np.median(b)), "b").where("price > 0").withColumn("y", F.log1p("price")).withColumn("fold", fold_of(F.col("id"), 3))).cache()
+    for k in range(3):
+        model = GBTRegressor(featuresCol="v", labelCol="y", maxIter=10, maxDepth=4, stepSize=0.055, seed=42, minInstancesPerNode=8).fit(train.where(F.col("fold") != k))
+        for r in model.transform(train.where(F.col("fold") == k)).collect():
+            assert got[r.id] == pytest.approx(r.y - r.prediction, abs=1e-9)
+    values, counts = np.arange(1000.0), np.where(np.arange(1000) < 500, 1, 9)
+    assert len(bin_edges(values[:255], counts[:255])) == 254 and np.bincount(np.searchsorted(bin_edges(values, counts), values), counts).max() <= 36 and len(bin_edges(values[:1], counts[:1])) == 0
+
+
 def test_alike_texts_like_brute_force(spark, monkeypatch):
     rng = random.Random(11)
     words = ["".join(rng.choice(["kha", "sar", "bagh", "por", "mi", "dar", "istan", "gah", "van", "zar", "lu", "pen"]) for _ in range(3)) for _ in range(500)]
