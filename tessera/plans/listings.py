@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import listing as L
 from tessera.operators import relational as R
 from tessera.operators import stats
-from tessera.session import cut_lineage, table
+from tessera.session import cut_lineage, table, written
 
 NUMBERS = ["area_m2", "rooms", "year_built_shamsi", "deposit_toman", "rent_monthly_toman"]
 FLAGS = ["impossible_area", "impossible_rooms", "impossible_year", "negative_price", "rooms_area_ratio_bad"]
@@ -103,7 +103,7 @@ def text_links(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = texts.select("listing_id", F.xxhash64("text").alias("k"), F.xxhash64(F.reverse("text")).alias("k2"))
     reps = keyed.groupBy("k", "k2").agg(F.min("listing_id").alias("rep"), F.count("*").alias("copies"))
     classes = cut_lineage(keyed.join(reps, ["k", "k2"]).select("listing_id", "rep", "copies"))
-    differing = cut_lineage(texts.join(classes.where("listing_id = rep").select("listing_id"), "listing_id", "left_semi"))
+    differing = written(texts.join(classes.where("listing_id = rep").select("listing_id"), "listing_id", "left_semi"))
     pairs = cut_lineage(alike_pairs(differing, "listing_id", "text"))
     nearest = pairs.select(F.explode(F.array("a", "b")).alias("rep"), "similarity").groupBy("rep").agg(F.max("similarity").alias("near"))
     similarity = F.when(F.col("copies") > 1, 1.0).otherwise(F.col("near"))
@@ -215,7 +215,7 @@ def scored(df: DataFrame, detectors: DataFrame | None = None) -> DataFrame:
 
     ``detectors`` may bring (listing_id, price_model_anomaly_score, price_model_ratio, lof_anomaly_score) for the fused market score.
     """
-    whole = cut_lineage(features(clean(df)))
+    whole = written(features(clean(df)))
     base = market(whole.drop("title", "description", "url", "structured_fields_json")).join(isolation(whole), "listing_id", "left")
     if detectors is not None:
         base = base.join(detectors, "listing_id", "left")

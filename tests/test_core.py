@@ -231,6 +231,42 @@ def test_alike_texts_like_brute_force(spark, monkeypatch):
     assert textsim.alike_pairs(df.limit(0), "listing_id", "text").count() == 0 and textsim.word_grams("a") == [" a "] and len(textsim.word_grams("abc")) == 3 + 2 + 1
 
 
+def test_crowded_bands_lose_no_pair(spark):
+    rng = random.Random(5)
+    held = {(i, k) for i in range(400) for k in rng.sample([*range(-30, 30), 0, 0, 0, 1, 1, 2], 5)}
+    of = {}
+    for i, k in held:
+        of.setdefault(i, set()).add(k)
+    want = {(a, b) for a, b in itertools.combinations(range(400), 2) if len(of[a] & of[b]) > 1}
+    got = textsim.candidates(spark.createDataFrame([*held], "id long, band long").repartition(3)).collect()
+    assert len(want) > 1000 and sorted(map(tuple, got)) == sorted(want)
+    runs = lambda *sizes: sorted(p for i, j in textsim._pairs_of_runs(np.cumsum([0, *sizes[:-1]]), np.array(sizes)) for p in zip(i.tolist(), j.tolist()))
+    assert runs(1, 3, 1200) == sorted([(1, 2), (1, 3), (2, 3), *((4 + i, 4 + j) for i, j in itertools.combinations(range(1200), 2))])
+
+
+def test_every_pair_of_a_large_family_is_found(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklmnoprstuv") for _ in range(6)) for _ in range(400)]
+    base, texts = rng.sample(words, 200), set()
+    while len(texts) < 150:
+        edited = list(base)
+        for _ in range(2):
+            edited[rng.randrange(200)] = rng.choice(words)
+        texts.add(" ".join(edited))
+    df = spark.createDataFrame([*enumerate(sorted(texts))], "listing_id long, text string")
+    terms, _ = textsim.vocabulary(df, "text")
+    number, x = {t: i for i, t in enumerate(terms)}, np.zeros((150, len(terms)))
+    for i, text in enumerate(sorted(texts)):
+        for w in text.split():
+            for g in textsim.word_grams(w):
+                x[i, number[g]] += 1
+    x = np.where(x > 0, 1 + np.log(np.maximum(x, 1)), 0) * np.array([*terms.values()])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(int(i), int(j)): (x @ x.T)[i, j] for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.7, 1)))}
+    got = {(r.a, r.b): r.similarity for r in textsim.alike_pairs(df, "listing_id", "text", threshold=0.7).collect()}
+    assert len(want) > 5000 and got.keys() <= want.keys() and len(got) >= 0.98 * len(want) and all(got[k] == pytest.approx(want[k]) for k in got)
+
+
 def test_reasons_and_keys(spark):
     row = spark.createDataFrame([(0.6, 0.7, 1.5, 0.1, 0.55, 3, 0.41, True, "reject", False, 0.5), (0.0, 0.9, float("nan"), 0.0, 0.0, 0, 0.0, True, "plausible", True, 0.9), (0.0,) * 2 + (None, 0.0, 0.0, 0, 0.0, None, None, None, None)],
         "data_problem_score double, market_outlier_score double, price_model_ratio double, misleading_risk_score double, duplicate_bait_score double, duplicate_cluster_size int, uncertainty_score double, decision_evaluated boolean, decision_disposition string, decision_abstain boolean, decision_effective_confidence double")
